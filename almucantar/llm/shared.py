@@ -37,7 +37,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a shared path, and the path in it."""
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+    if uri.startswith("file:") or ":" not in uri.split("/", 1)[0]:
+        return pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return pafs.FileSystem.from_uri(uri)
 
 
 def make_dir(uri: str) -> str:
