@@ -7,18 +7,30 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from almucantar.llm import packing, secrets, shared, token_files
+from almucantar.llm import minhash, packing, secrets, shared, substrings, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
+    folder = shared.new_dir(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents on three-word shingles."""
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, per_cent=85)
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of all documents."""
     return secrets.scan(_table(spark, sf_dir, "documents"))
@@ -31,11 +43,34 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 50-byte strings that earlier ones have."""
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
-    return {"op5_packing": op5_packing, "op7_secrets": op7_secrets, "op8_token_files": op8_token_files}
+    return {
+        "op1_warc": op1_warc,
+        "op5_packing": op5_packing,
+        "op6_minhash": op6_minhash,
+        "op7_secrets": op7_secrets,
+        "op8_token_files": op8_token_files,
+        "op10_substrings": op10_substrings,
+    }
+
+
+_OP1 = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+FROM f
+"""
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {}
+    return {"op1_warc": _OP1}
