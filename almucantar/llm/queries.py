@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from almucantar.llm import minhash, packing, secrets, shared, substrings, token_files, warc
+from almucantar.llm import langid, minhash, packing, secrets, shared, substrings, token_files, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,14 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = langid.train(docs.where(~langid.held_out()))
+    pred = langid.identify(docs, model)
+    return pred.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the 50-byte strings that earlier ones have."""
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
@@ -56,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_minhash": op6_minhash,
         "op7_secrets": op7_secrets,
         "op8_token_files": op8_token_files,
+        "op9_langid": op9_langid,
         "op10_substrings": op10_substrings,
     }
 
