@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from almucantar.llm import langid, minhash, packing, secrets, shared, substrings, token_files, warc
+from almucantar.llm import langid, minhash, packing, secrets, shared, substrings, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of all documents, learned from labels of those that are not held out."""
+    docs = _table(spark, sf_dir, "documents")
+    net = toxicity.train(docs, _table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    return toxicity.score(docs, net).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 1024 tokens."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -60,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
     return {
         "op1_warc": op1_warc,
+        "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_minhash": op6_minhash,
         "op7_secrets": op7_secrets,

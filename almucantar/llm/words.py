@@ -53,8 +53,13 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all texts' words in order, and where each text's begin (one more than texts). Null: no words."""
+    return word_spans(texts)[:2]
+
+
+def word_spans(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and each word's first byte and the one after its last, and all bytes."""
     data, at = _bytes_of(texts)
-    hashes, firsts = [], []
+    hashes, firsts, lasts = [], [], []
     lo, n = 0, len(data)
     while lo < n:
         hi = min(n, lo + STRETCH)
@@ -83,10 +88,11 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         np.cumsum(_BYTE[part] * up[: len(part)], out=sums[1:])
         hashes.append(mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64)))
         firsts.append(start + lo)
+        lasts.append(end + lo)
         lo = hi
     hashes = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-    firsts = np.concatenate(firsts) if firsts else np.zeros(0, np.int64)
-    return hashes, np.searchsorted(firsts, at)
+    firsts, lasts = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (firsts, lasts))
+    return hashes, np.searchsorted(firsts, at), firsts, lasts, data
 
 
 _PLACE = np.array([0xD6E8FEB86659FD93, 0xA5A5B3C1F0E1D2C3, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0x165667B19E3779F9], np.uint64)
