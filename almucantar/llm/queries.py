@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from almucantar.llm import langid, minhash, packing, secrets, shared, substrings, token_files, toxicity, warc
+from almucantar.llm import decontaminate, langid, minhash, nearest, packing, secrets, shared, substrings, token_files, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,16 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlaps of all documents with benchmark items."""
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth embedding."""
+    return nearest.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of all documents, learned from labels of those that are not held out."""
     docs = _table(spark, sf_dir, "documents")
@@ -67,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """By name."""
     return {
         "op1_warc": op1_warc,
+        "op2_decontaminate": op2_decontaminate,
+        "op3_nearest": op3_nearest,
         "op4_toxicity": op4_toxicity,
         "op5_packing": op5_packing,
         "op6_minhash": op6_minhash,
