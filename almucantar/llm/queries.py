@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from almucantar.llm import decontaminate, langid, minhash, nearest, packing, secrets, shared, substrings, token_files, toxicity, warc
 
 
@@ -86,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_langid": op9_langid,
         "op10_substrings": op10_substrings,
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -369,3 +369,18 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, net: Network, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, with all their columns. Null texts stay."""
+    shared.small_arrow_batches(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(net)
+
+    def run(batches):
+        net = sent.value
+        for batch in batches:
+            for part in shared.text_batches([batch], 4 << 20):
+                texts = part.column(text_col)
+                yield part.filter(pa.array((net.scores(read(texts)) < threshold) | texts.is_null().to_numpy(zero_copy_only=False)))
+
+    return docs.mapInArrow(run, docs.schema)
