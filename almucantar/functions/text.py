@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 def fix_text(s: Column) -> Column:
     """Undoes UTF-8 that was read as Latin-1; other strings stay as they are."""
-    raw = F.encode(s, "ISO-8859-1")
-    narrow = F.decode(raw, "ISO-8859-1") == s  # nothing was lost
-    return F.when(narrow & F.is_valid_utf8(raw.cast("string")), F.coalesce(F.try_validate_utf8(raw.cast("string")), s)).otherwise(s)
+    narrow = s.rlike(r"^[\x{00}-\x{ff}]*$")
+    raw = F.encode(F.when(narrow, s).otherwise(""), "ISO-8859-1").cast("string")
+    return F.when(narrow, F.coalesce(F.try_validate_utf8(raw), s)).otherwise(s)
 
 
 def title_case(s: Column) -> Column:
@@ -25,7 +25,7 @@ def first_filled(*values: Column) -> Column:
 
 def decimal_year(day: Column) -> Column:
     """YYYY, YYYY-MM or YYYY-MM-DD as a year with a fraction; null for anything else."""
-    y, m = F.try_to_number(F.substring(day, 1, 4), F.lit("9999")).cast("double"), F.substring(day, 6, 2).try_cast("double")
+    y, m = F.substring(day, 1, 4).try_cast("double"), F.substring(day, 6, 2).try_cast("double")
     full = F.try_to_date(day, "yyyy-MM-dd")
     return (
         F.when(F.length(day) == 4, y + 0.5)

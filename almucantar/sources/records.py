@@ -20,7 +20,7 @@ def soundings(lines: DataFrame) -> DataFrame:
     def number(start: int, size: int) -> Column:
         return F.trim(F.substring("line", start, size)).try_cast("int")
 
-    heads = own.where(head).select("file", "sounding", F.try_to_timestamp(F.regexp_replace(F.substring("line", 14, 10), " ", "0"), F.lit("yyyy0MM0dd")).alias("day"), number(25, 2).alias("hour"), number(28, 2).alias("rel_h"), number(30, 2).alias("rel_m"))
+    heads = own.where(head).select("file", "sounding", F.try_to_date(F.format_string("%04d-%02d-%02d", number(14, 4), number(19, 2), number(22, 2)), "yyyy-MM-dd").cast("timestamp").alias("day"), number(25, 2).alias("hour"), number(28, 2).alias("rel_h"), number(30, 2).alias("rel_m"))
     hour = F.when(F.col("rel_h") != 99, F.col("rel_h") * 60 + F.when(F.col("rel_m") != 99, F.col("rel_m")).otherwise(0)).otherwise(F.col("hour") * 60)
     heads = heads.where("hour != 99").select("file", "sounding", F.timestamp_add("MINUTE", hour, F.col("day")).alias("release"))
     levels = own.where(~head).select("file", "sounding", "line_no", (F.substring("line", 2, 1) == "1").alias("surface"), number(10, 6).alias("p"), number(17, 5).alias("z"), number(23, 5).alias("t"))
