@@ -65,3 +65,31 @@ def sun_events(days: DataFrame, steps: int = 7) -> DataFrame:
 def solar_date(ts: Column, lon: Column) -> Column:
     """The date at a place by mean solar time; ``ts`` in UTC."""
     return F.to_date(F.timestamp_micros((F.unix_micros(ts.cast("timestamp")) + F.round(lon / 15.0 * 3600e6)).cast("long")))
+
+
+#: The Astronomical Almanac's low-precision Moon: amplitude, angle and rate of each term.
+MOON_LONGITUDE = [(6.29, 135.0, 477198.87), (-1.27, 259.3, -413335.36), (0.66, 235.7, 890534.22), (0.21, 269.9, 954397.74), (-0.19, 357.5, 35999.05), (-0.11, 186.5, 966404.03)]
+MOON_LATITUDE = [(5.13, 93.3, 483202.02), (0.28, 228.2, 960400.89), (-0.28, 318.3, 6003.15), (-0.17, 217.6, -407332.21)]
+MOON_PARALLAX = [(0.0518, 135.0, 477198.87), (0.0095, 259.3, -413335.36), (0.0078, 235.7, 890534.22), (0.0028, 269.9, 954397.74)]
+
+
+def moon_altitude(jd: Column, lat: Column, lon: Column) -> Column:
+    """Degrees of the Moon's centre above the horizon, its parallax taken off."""
+    t = (jd - 2451545.0) / 36525.0
+
+    def series(terms: list[tuple[float, float, float]], f) -> Column:
+        out = F.lit(0.0)
+        for a, b, c in terms:
+            out = out + f(F.radians(F.lit(b) + c * t)) * a
+        return out
+
+    longitude = F.radians(F.lit(218.32) + 481267.881 * t + series(MOON_LONGITUDE, F.sin))
+    latitude = F.radians(series(MOON_LATITUDE, F.sin))
+    tilt = F.radians(F.lit(23.4393) - 0.0130 * t)
+    place = {
+        "ra": F.atan2(F.sin(longitude) * F.cos(tilt) - F.tan(latitude) * F.sin(tilt), F.cos(longitude)),
+        "dec": F.asin(F.sin(latitude) * F.cos(tilt) + F.cos(latitude) * F.sin(tilt) * F.sin(longitude)),
+        "gast": sun_place(jd)["gast"],
+    }
+    up = altitude(place, lat, lon)
+    return up - (F.lit(0.9508) + series(MOON_PARALLAX, F.cos)) * F.cos(F.radians(up))
