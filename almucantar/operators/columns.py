@@ -125,3 +125,28 @@ def candidate_grid(lat0: float, lon0: float, radius_km: float, grid_m: float) ->
     dlat = grid_m / 111195.0
     dlon = dlat / math.cos(math.radians(lat0))
     return [(lat0, lon0)] + [(lat0 + i * dlat, lon0 + j * dlon) for i in range(-n, n + 1) for j in range(-n, n + 1) if (i or j) and math.hypot(i, j) * grid_m <= radius_km * 1000]
+
+
+def filled_heights(levels: DataFrame, keys: list[str]) -> DataFrame:
+    """Levels (p hPa, z, t Celsius) with missing heights from the nearest known level at higher pressure, else from the first known.
+
+    Columns without any known height are left out.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc("p"))
+    known = F.when(F.col("z").isNotNull(), F.struct("p", "z", "t"))
+    base = F.coalesce(F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.first(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    rows = levels.withColumn("_k", base).where("_k is not null")
+    z = F.col("_k.z") + R_DRY * ((F.col("_k.t") + F.col("t")) / 2 + 273.15) / GRAVITY * F.log(F.col("_k.p") / F.col("p"))
+    return rows.withColumn("z", F.coalesce("z", z)).drop("_k")
+
+
+def rising(rows: DataFrame, keys: list[str], gap: float = 0.5) -> DataFrame:
+    """Levels (p, z, t) of each column from the highest pressure up, each kept only if ``gap`` above the last one kept."""
+    ordered = F.array_sort(F.collect_list(F.struct(F.negative("p").alias("_o"), "p", "z", "t")))
+    kind = "array<struct<_o:double,p:double,z:double,t:double>>"
+
+    def step(kept: Column, v: Column) -> Column:
+        return F.when((F.size(kept) == 0) | (v["z"] > F.try_element_at(kept, F.lit(-1))["z"] + gap), F.concat(kept, F.array(v))).otherwise(kept)
+
+    kept = rows.groupBy(*keys).agg(F.aggregate(ordered.cast(kind), F.array().cast(kind), step).alias("k"))
+    return kept.select(*keys, F.explode("k").alias("v")).select(*keys, "v.p", "v.z", "v.t")

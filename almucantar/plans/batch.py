@@ -259,3 +259,19 @@ def window_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event-time windows; the same code runs on a stream."""
     out = flows.window_sums(table(spark, sf_dir, "events"), ["event_type"])
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", F.round(F.col("total") * 100).cast("long").alias("total"), "n")
+
+
+_LEVELS = """SELECT l_orderkey, 1000.0 - l_linenumber * 100 AS p, CASE WHEN max(l_quantity) > 20 THEN max(l_extendedprice) / 50 END AS z, max(l_discount) * 100 AS t FROM lineitem WHERE l_linenumber < 8 GROUP BY l_orderkey, l_linenumber"""
+
+
+@query(f"""WITH l AS ({_LEVELS}), b AS (SELECT *, coalesce(last_value(k IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+first_value(k IGNORE NULLS) OVER (PARTITION BY l_orderkey ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS f
+FROM (SELECT *, CASE WHEN z IS NOT NULL THEN struct_pack(p := p, z := z, t := t) END AS k FROM l))
+SELECT l_orderkey, CAST(p AS BIGINT) AS p, CAST(round(coalesce(z, f.z + 287.05 * ((f.t + t) / 2 + 273.15) / 9.80665 * ln(f.p / p)) * 1000) AS BIGINT) AS z FROM b WHERE f IS NOT NULL""")
+def filled_heights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing heights of levels from the known ones below."""
+    li = table(spark, sf_dir, "lineitem").where("l_linenumber < 8").groupBy("l_orderkey", "l_linenumber")
+    rows = li.agg(F.max("l_quantity").alias("q"), F.max("l_extendedprice").alias("e"), F.max("l_discount").alias("d"))
+    levels = rows.select("l_orderkey", (F.lit(1000.0) - F.col("l_linenumber") * 100).alias("p"), F.when(F.col("q") > 20, F.col("e") / 50).alias("z"), (F.col("d") * 100).alias("t"))
+    out = columns.filled_heights(levels, ["l_orderkey"])
+    return out.select("l_orderkey", F.col("p").cast("long").alias("p"), F.round(F.col("z") * 1000).cast("long").alias("z"))

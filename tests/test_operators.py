@@ -140,3 +140,24 @@ def test_nearest_ties_and_empty(spark):
     assert [(r["near_id"], r["seconds"]) for r in out] == [(7, 10.0)]
     assert relational.nearest_within(left.limit(0), right, "user_id", "t", "u", "click_id", 50, 50).count() == 0
     assert stats.mode_phase(spark.createDataFrame([], "d date"), "d", "2020-01-01", 4).first()["phase"] == 0
+
+
+def test_moon_altitude_is_plausible(spark):
+    """Full Moon of 2026-01-03 about 10:03 UT: opposite the Sun, so high where it is midnight."""
+    jd = F.lit(2461043.9190)
+    rows = spark.createDataFrame([(28.0, 30.0), (28.0, -150.0)], "lat double, lon double").select(astro.moon_altitude(jd, F.col("lat"), F.col("lon")), astro.altitude(astro.sun_place(jd), F.col("lat"), F.col("lon"))).collect()
+    for moon, sun in rows:
+        assert abs(moon + sun) < 8
+    assert rows[1][0] > 70
+
+
+def test_rising_and_retention(spark):
+    levels = spark.createDataFrame([(1, 1000.0, 100.0, 10.0), (1, 900.0, None, 5.0), (1, 800.0, 2000.0, 0.0), (1, 790.0, 2000.2, 0.0), (2, 900.0, None, 1.0)], "k int, p double, z double, t double")
+    filled = columns.filled_heights(levels, ["k"])
+    z = {(r["k"], r["p"]): r["z"] for r in filled.collect()}
+    assert (2, 900.0) not in z and z[1, 900.0] == pytest.approx(100 + 287.05 * (7.5 + 273.15) / 9.80665 * math.log(1000 / 900))
+    assert sorted(r["p"] for r in columns.rising(filled, ["k"]).collect()) == [800.0, 900.0, 1000.0]
+    runs = spark.createDataFrame([(f"20260101{h:02d}",) for h in (0, 6, 12)], "run string")
+    from almucantar.operators import serving
+
+    assert sorted(r[0] for r in serving.retained(runs, "run", 2).collect()) == ["2026010106", "2026010112"]
