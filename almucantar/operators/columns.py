@@ -148,5 +148,5 @@ def rising(rows: DataFrame, keys: list[str], gap: float = 0.5) -> DataFrame:
     def step(kept: Column, v: Column) -> Column:
         return F.when((F.size(kept) == 0) | (v["z"] > F.try_element_at(kept, F.lit(-1))["z"] + gap), F.concat(kept, F.array(v))).otherwise(kept)
 
-    kept = rows.groupBy(*keys).agg(F.aggregate(ordered.cast(kind), F.array().cast(kind), step).alias("k"))
-    return kept.select(*keys, F.explode("k").alias("v")).select(*keys, "v.p", "v.z", "v.t")
+    kept = rows.groupBy(*keys).agg(F.aggregate(ordered.cast(kind), F.array().cast(kind), step).alias("_kept"))
+    return kept.select(*keys, F.explode("_kept").alias("v")).select(*keys, "v.p", "v.z", "v.t")
