@@ -6,9 +6,10 @@ contiguous stretch of a table. Bands of coordinates find candidates, and every l
 full shingle sets.
 
 Documents with equal sets are one class with one representative. In a band's bucket each representative
-is compared with the smallest; what stays unlinked in a bucket with several components is compared
-further, in rounds, until no candidate pair of different components is left, so no group is ever expanded
-into all its pairs.
+is compared with the smallest, and the links found make components. A bucket that still holds several of
+them is searched once more: those outside its most frequent component are counted against all others that
+share two bands with them, in blocks, and only links come out. So no link between candidates is lost and
+no group is expanded into its pairs.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def described(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for b in batches for part in shared.text_batches([b], 2 << 20)):
             sets = words.shingle_sets(batch.column(1), shingle)
             keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
             at = [band_keys(signature(s, bands * rows), rows).view(np.int64) if len(s) else None for s in sets]
@@ -70,13 +71,12 @@ def described(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str
     return narrow.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
-def confirmed(edges: DataFrame, docs: DataFrame, shingle: int, per_cent: int, id_col: str = "doc_id", text_col: str = "text", most: int = 2000) -> DataFrame:
-    """The edges (a, b) whose full sets have 100 * intersection >= per_cent * union.
+def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, per_cent: int, most: int = 2000) -> DataFrame:
+    """The edges (a, b) whose full sets, of ``texts`` (rep, text), have 100 * intersection >= per_cent * union.
 
     A leader's text goes to its members' tasks, ``most`` members in each, and never all pairs are made.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    # Hash-partitioned by id once, narrow edges join it twice.
+    texts = texts.select(F.col("rep").alias("_id"), F.col("text").alias("_text")).hint("merge")
     salts = edges.groupBy("a").agg(F.expr(f"cast(ceil(count(*) / {most}) as int)").alias("_salts"))
     members = edges.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "_salts").cast("int").alias("_salt"))
     members = members.join(texts, F.col("b") == F.col("_id")).select("a", "b", "_salt", "_text")
@@ -86,7 +86,7 @@ def confirmed(edges: DataFrame, docs: DataFrame, shingle: int, per_cent: int, id
     def run(batches):
         leader, own = None, []
         for batch in batches:
-            for part in shared.text_batches([batch]):
+            for part in shared.text_batches([batch], 2 << 20):
                 found = []
                 sets = words.shingle_sets(part.column(2), shingle)
                 for a, b, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets, strict=True):
@@ -104,6 +104,70 @@ def confirmed(edges: DataFrame, docs: DataFrame, shingle: int, per_cent: int, id
     return grouped.select("a", "b", "_text").mapInArrow(run, "a long, b long").distinct()
 
 
+def across(hot: DataFrame, label: DataFrame, texts: DataFrame, shingle: int, per_cent: int, most: int = 2000) -> DataFrame:
+    """Links (a, b) between members of a bucket that lie in different components.
+
+    ``hot`` (key, rep) are the buckets, ``label`` (node, component), ``texts`` (rep, text, bands). Members go
+    to blocks of about ``most``; those outside a bucket's most frequent component go to all its blocks. A
+    pair is looked at in the first band that it shares.
+    """
+    labelled = hot.join(label, hot["rep"] == label["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("label"))
+    by_label = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    mixed = by_label.groupBy("key").agg(F.max_by("label", F.struct("n", F.negative("label"))).alias("main"), F.count("*").alias("labels"), F.sum("n").alias("n")).where("labels > 1 and n > 2")
+    rows = labelled.join(mixed, "key").withColumn("blocks", F.expr(f"cast(ceil(n / {most}) as int)"))
+    members = rows.select("key", F.pmod(F.xxhash64("rep"), "blocks").cast("int").alias("block"), F.lit(0).alias("role"), "rep", "label")
+    outside = rows.where("label != main").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "rep", "label")
+    dealt = members.unionByName(outside).join(texts.hint("merge"), "rep").repartition("key", "block").sortWithinPartitions("key", "block", "role", "rep")
+
+    def run(batches):
+        cell, group = None, _Group()
+        for batch in batches:
+            for part in shared.text_batches([batch], 2 << 20):
+                sets = words.shingle_sets(part.column(5), shingle)
+                bands = part.column(6).flatten().to_numpy().reshape(len(sets), -1)
+                found = []
+                for i, (key, block, role, rep, own) in enumerate(zip(*(part.column(c).to_pylist() for c in range(5)), strict=True)):
+                    if (key, block) != cell:
+                        cell, group = (key, block), _Group()
+                    if role == 0:
+                        group.add(rep, own, sets[i], bands[i])
+                    else:
+                        found += [(rep, b) for b in group.links(key, rep, own, sets[i], bands[i], per_cent)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+    return dealt.select("key", "block", "role", "rep", "label", "text", "bands").mapInArrow(run, "a long, b long").distinct()
+
+
+class _Group:
+    """The members of a block of a bucket."""
+
+    def __init__(self):
+        self.rows, self.ready = [], False
+
+    def add(self, rep: int, label: int, own: np.ndarray, bands: np.ndarray) -> None:
+        self.rows.append((rep, label, own, bands))
+
+    def links(self, key: int, rep: int, label: int, own: np.ndarray, bands: np.ndarray, per_cent: int) -> list[int]:
+        """Members of other labels whose sets are close enough to a set."""
+        if not self.rows:
+            return []
+        if not self.ready:
+            self.rep, self.label = (np.array([r[k] for r in self.rows], np.int64) for k in (0, 1))
+            self.bands, self.size = np.stack([r[3] for r in self.rows]), np.array([len(r[2]) for r in self.rows])
+            self.ready = True
+        same = self.bands == bands
+        here = (self.label != label) & (self.rep != rep) & (same.sum(1) > 1) & (bands[same.argmax(1)] == key)
+        here &= 100 * np.minimum(self.size, len(own)) >= per_cent * np.maximum(self.size, len(own))
+        out = []
+        for i in np.flatnonzero(here):
+            other = self.rows[i][2]
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            both = int((own[at] == other).sum())
+            if 100 * both >= per_cent * (len(own) + len(other) - both):
+                out.append(int(self.rep[i]))
+        return out
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, bands: int = 32, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -118,29 +182,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, per_cent: int = 80, bands
     banded = shared.written(reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("key")).distinct(), "bands")
     heads = banded.groupBy("key").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
     hot = shared.written(banded.join(heads, "key").select("key", "rep", "a"), "buckets")
-    tried = shared.written(hot.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "tried")
-    found = shared.written(confirmed(tried, docs, shingle, per_cent, id_col, text_col), "confirmed")
-    while True:
-        label = shared.written(components(found), "labels") if not found.isEmpty() else None
-        left = _left(hot, tried, label)
-        if left is None:
-            break
-        tried = shared.written(tried.unionByName(left), "tried")
-        found = shared.written(found.unionByName(confirmed(left, docs, shingle, per_cent, id_col, text_col)), "confirmed")
+    narrow = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).cast("string").alias("text"))
+    some = reps.withColumnRenamed("doc_id", "rep").join(hot.select("rep").distinct(), "rep").select("rep", "bands")
+    # Texts are joined by a shuffle at every size: how many candidates there are follows the documents.
+    texts = shared.written(narrow.hint("merge").join(some, "rep"), "candidates")
+    found = shared.written(confirmed(hot.where("rep != a").select("a", F.col("rep").alias("b")).distinct(), texts, shingle, per_cent), "confirmed")
+    label = shared.written(components(found), "labels")
+    more = shared.written(across(hot, label, texts, shingle, per_cent), "across")
+    if not more.isEmpty():
+        label = shared.written(components(found.unionByName(more)), "labels")
     of_class = classes.where("rep is not null").select("set_key", "rep")
-    if label is not None:
-        of_class = of_class.join(label, of_class["rep"] == label["node"], "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component"))
-    else:
-        of_class = of_class.select("set_key", "rep", F.col("rep").alias("component"))
+    of_class = of_class.join(label, of_class["rep"] == label["node"], "left").select("set_key", "rep", F.coalesce("component", "rep").alias("component"))
     out = own.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").eqNullSafe(component)).alias("kept"))
-
-
-def _left(hot: DataFrame, tried: DataFrame, label: DataFrame | None) -> DataFrame | None:
-    """For buckets that still hold several components: pairs between them that were not compared yet, or None.
-
-    Each component in a bucket is compared by the next of its members, against the next component's, so a
-    round makes no more pairs than there are rows in the buckets.
-    """
-    return None

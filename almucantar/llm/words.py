@@ -18,7 +18,7 @@ _IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 #: Texts are hashed in stretches of about this many bytes, cut at white space.
-STRETCH = 2 << 20
+STRETCH = 512 << 10
 _POWERS: dict[str, np.ndarray] = {}
 
 
