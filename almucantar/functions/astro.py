@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,28 +40,52 @@ def altitude(place: dict[str, Column], lat: Column, lon: Column) -> Column:
 def sun_events(days: DataFrame, steps: int = 7) -> DataFrame:
     """Adds ``event_jd`` and ``azimuth`` for rows with day (date), lat, lon and event (sunrise or sunset).
 
-    From local noon by the hour angle at which the Sun stands at the horizon, then ``steps`` corrections,
-    staged column by column so the expression stays small. Null where the Sun does not rise or set.
+    From local noon by the hour angle at which the Sun stands at the horizon, then up to ``steps``
+    corrections until they are under a millionth of a day. Null where the Sun does not rise or set. As a
+    Column expression the steps would double at each reference, so this one is an Arrow function.
     """
-    sign = F.when(F.col("event") == "sunrise", -1.0).otherwise(1.0)
-    h0, phi = F.lit(math.radians(HORIZON)), F.radians("lat")
-    out = days.withColumn("_jd", F.unix_date("day") + 2440587.5 + 0.5 - F.col("lon") / 360.0)
-
-    def placed(df: DataFrame) -> DataFrame:
-        return df.withColumns({f"_{k}": v for k, v in sun_place(F.col("_jd")).items()}).withColumn("_h", hour_angle(F.col("_gast"), F.col("_ra"), F.col("lon")))
-
-    out = placed(out)
-    cosine = (F.sin(h0) - F.sin(phi) * F.sin("_dec")) / (F.cos(phi) * F.cos("_dec"))
-    out = out.withColumn("_jd", F.when(cosine.between(-1, 1), F.col("_jd") + (sign * F.acos(cosine) - F.col("_h")) / TAU)).withColumn("_done", F.lit(False))
-    for _ in range(steps):
-        out = placed(out)
-        h = F.asin(F.sin(phi) * F.sin("_dec") + F.cos(phi) * F.cos("_dec") * F.cos("_h"))
-        out = out.withColumn("_step", F.when(F.col("_done"), 0.0).otherwise((h - h0) / (TAU * F.cos("_dec") * F.cos(phi) * F.sin("_h"))))
-        turn = F.degrees(F.atan2(F.sin("_h"), F.cos("_h") * F.sin(phi) - F.tan("_dec") * F.cos(phi))) + 180.0
-        kept = F.when(F.col("_done"), F.col("_az")) if "_az" in out.columns else F.when(F.lit(False), F.lit(0.0))
-        out = out.withColumn("_az", kept.otherwise(F.pmod(turn, F.lit(360.0)))).withColumn("_jd", F.col("_jd") + F.col("_step"))
-        out = out.withColumn("_done", F.col("_done") | (F.abs("_step") < 1e-6))
-    return out.withColumn("event_jd", F.col("_jd")).withColumn("azimuth", F.col("_az")).drop("_jd", "_ra", "_dec", "_gast", "_h", "_step", "_done", "_az")
+
+    @F.pandas_udf("event_jd double, azimuth double")
+    def solve(noon: pd.Series, lat: pd.Series, lon: pd.Series, rises: pd.Series) -> pd.DataFrame:
+        phi, jd, h0 = np.radians(lat.to_numpy(float)), noon.to_numpy(float), math.radians(HORIZON)
+        sign = np.where(rises.to_numpy(bool), -1.0, 1.0)
+        place = _sun(jd)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            angle = (math.sin(h0) - np.sin(phi) * np.sin(place[1])) / (np.cos(phi) * np.cos(place[1]))
+            jd = jd + (sign * np.arccos(np.where(np.abs(angle) <= 1, angle, np.nan)) - _hour_angle(place, lon)) / TAU
+            azimuth, open_ = np.full(len(jd), np.nan), np.isfinite(jd)
+            for _ in range(steps):
+                if not open_.any():
+                    break
+                place = _sun(jd)
+                turn = _hour_angle(place, lon)
+                high = np.arcsin(np.sin(phi) * np.sin(place[1]) + np.cos(phi) * np.cos(place[1]) * np.cos(turn))
+                move = (high - h0) / (TAU * np.cos(place[1]) * np.cos(phi) * np.sin(turn))
+                toward = np.degrees(np.arctan2(np.sin(turn), np.cos(turn) * np.sin(phi) - np.tan(place[1]) * np.cos(phi))) + 180
+                azimuth = np.where(open_, toward % 360, azimuth)
+                jd = np.where(open_, jd + move, jd)
+                open_ &= np.abs(move) >= 1e-6
+        known = np.isfinite(jd)
+        return pd.DataFrame({"event_jd": pd.Series(jd).where(known, None), "azimuth": pd.Series(azimuth).where(known, None)})
+
+    noon = F.unix_date("day") + 2440587.5 + 0.5 - F.col("lon") / 360.0
+    out = days.withColumn("_sun", solve(noon, F.col("lat"), F.col("lon"), F.col("event") == "sunrise"))
+    return out.select(*days.columns, "_sun.event_jd", "_sun.azimuth")
+
+
+def _sun(jd: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``sun_place`` over arrays."""
+    t = (jd - 2451545.0) / 36525.0
+    m, node = np.radians(357.52911 + 35999.05029 * t - 0.0001537 * t * t), np.radians(125.04 - 1934.136 * t)
+    centre = (1.914602 - 0.004817 * t - 0.000014 * t * t) * np.sin(m) + (0.019993 - 0.000101 * t) * np.sin(2 * m) + 0.000289 * np.sin(3 * m)
+    longitude = np.radians(280.46646 + 36000.76983 * t + 0.0003032 * t * t + centre - 0.00569 - 0.00478 * np.sin(node))
+    tilt = np.radians(23.4392911 - 0.0130042 * t + 0.00256 * np.cos(node))
+    sidereal = 280.46061837 + 360.98564736629 * (jd - 2451545.0) + 0.000387933 * t * t - 0.00478 * np.sin(node) * np.cos(tilt)
+    return np.arctan2(np.cos(tilt) * np.sin(longitude), np.cos(longitude)), np.arcsin(np.sin(tilt) * np.sin(longitude)), np.radians(sidereal)
+
+
+def _hour_angle(place: tuple[np.ndarray, np.ndarray, np.ndarray], lon: pd.Series) -> np.ndarray:
+    return (place[2] + np.radians(lon.to_numpy(float)) - place[0] + math.pi) % TAU - math.pi
 
 
 def solar_date(ts: Column, lon: Column) -> Column:

@@ -112,13 +112,13 @@ def brightness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("place", micro("a", 4).alias("mcd"), micro("m", 4).alias("mag"), micro("b", 9).alias("blp"), micro("l", 4).alias("later"))
 
 
-@query("""SELECT l_returnflag, count(l_extendedprice) AS n, CAST(round(avg(l_extendedprice) * 100) AS BIGINT) AS mean, CAST(round(min(l_extendedprice) * 100) AS BIGINT) AS least,
-CAST(round(quantile_cont(l_extendedprice, 0.1) * 100) AS BIGINT) AS p10, CAST(round(quantile_cont(l_extendedprice, 0.5) * 100) AS BIGINT) AS median, CAST(round(quantile_cont(l_extendedprice, 0.9) * 100) AS BIGINT) AS p90,
-CAST(round(max(l_extendedprice) * 100) AS BIGINT) AS most, CAST(round(quantile_cont(l_extendedprice, 0.75) * 100) AS BIGINT) AS p FROM lineitem GROUP BY 1""")
+@query("""SELECT l_returnflag, count(l_extendedprice) AS n, CAST(round(avg(l_extendedprice) * 10000) AS BIGINT) AS mean, CAST(round(min(l_extendedprice) * 10000) AS BIGINT) AS least,
+CAST(round(quantile_cont(l_extendedprice, 0.1) * 10000) AS BIGINT) AS p10, CAST(round(quantile_cont(l_extendedprice, 0.5) * 10000) AS BIGINT) AS median, CAST(round(quantile_cont(l_extendedprice, 0.9) * 10000) AS BIGINT) AS p90,
+CAST(round(max(l_extendedprice) * 10000) AS BIGINT) AS most, CAST(round(quantile_cont(l_extendedprice, 0.75) * 10000) AS BIGINT) AS p FROM lineitem GROUP BY 1""")
 def area_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of the pixels of areas."""
     out = stats.summary(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", 75.0)
-    return out.select("l_returnflag", "n", *[micro(c, 2).alias(c) for c in ("mean", "least", "p10", "median", "p90", "most", "p")])
+    return out.select("l_returnflag", "n", *[micro(c, 4).alias(c) for c in ("mean", "least", "p10", "median", "p90", "most", "p")])
 
 
 @query(f"""WITH p AS (SELECT place % 12 AS month, round(lat / 60.0) * 2.5 + 40.0 AS lat, round(lon / 60.0) * 2.5 + 10.0 AS lon, lat / 3.0 AS t FROM ({_P})), q AS (
@@ -214,7 +214,7 @@ def path_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the paths toward the rising Sun lie and what the climatology has there: events, distances, values."""
     from almucantar.operators import climatology
 
-    p = points(spark, sf_dir, "supplier", "s_suppkey").select("place", "lat", "lon", F.lit("2026-02-10").cast("date").alias("day"), F.lit("sunrise").alias("event"))
+    p = points(spark, sf_dir, "supplier", "s_suppkey").select("place", "lat", "lon", F.lit("2026-01-20").cast("date").alias("day"), F.lit("sunrise").alias("event"))
     path = astro.sun_events(p).where("event_jd is not null").withColumn("km", F.explode(F.lit([0.0, 20.0, 50.0, 100.0])))
     lat2, lon2 = geo.destination(F.col("lat"), F.col("lon"), F.col("azimuth"), F.col("km"))
     ts = F.timestamp_micros(((F.col("event_jd") - 2440587.5) * 86400e6).cast("long"))
