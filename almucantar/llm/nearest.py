@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from almucantar.llm import shared
 
 #: Coordinates that are looked at between two tests.
-COLUMNS = 8
+COLUMNS = 16
 
 
 @dataclass
@@ -80,24 +80,30 @@ def probes_for(index: Index, sample: np.ndarray, k: int, recall: float, queries:
     return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else 1
 
 
-def scan(x: np.ndarray, q: np.ndarray, k: int, epsilon: float = 2.1, block: int = 256) -> np.ndarray:
+def column_blocks(x: np.ndarray) -> list[np.ndarray]:
+    """Vectors as blocks of ``COLUMNS`` coordinates, each contiguous."""
+    return [np.ascontiguousarray(x[:, d : d + COLUMNS]) for d in range(0, x.shape[1], COLUMNS)]
+
+
+def scan(x: list[np.ndarray], q: np.ndarray, k: int, epsilon: float = 2.1, block: int = 256) -> np.ndarray:
     """Places in ``x`` of the candidates that may be among the ``k`` nearest to ``q``; ties at the limit stay."""
-    dim, limit = x.shape[1], np.inf
+    n, dim, limit = len(x[0]), len(q), np.inf
     kept, near = np.zeros(0, np.int64), np.zeros(0)
-    for lo in range(0, len(x), block):
-        at, part = np.arange(lo, min(len(x), lo + block)), np.zeros(min(block, len(x) - lo))
-        for d in range(0, dim, COLUMNS):
-            gap = x[at, d : d + COLUMNS] - q[d : d + COLUMNS]
-            part = part + (gap * gap).sum(1)
-            seen = min(dim, d + COLUMNS)
+    for lo, hi in [(0, min(block, n))] + [(a, min(n, a + 8 * block)) for a in range(block, n, 8 * block)]:
+        at, part, seen = None, np.zeros(hi - lo), 0
+        for own in x:
+            some = own[lo:hi] if at is None else own.take(at, axis=0)
+            gap = some - q[seen : seen + own.shape[1]]
+            part = part + np.einsum("ij,ij->i", gap, gap)
+            seen += own.shape[1]
             slack = 1 + 1e-6 if seen == dim else (1 + epsilon / np.sqrt(seen)) ** 2
-            stay = part <= limit * (seen / dim) * slack + 1e-9
-            if not stay.all():
-                at, part = at[stay], part[stay]
-            if not len(at):
-                break
-        if len(at):
-            kept, near = np.concatenate([kept, at]), np.concatenate([near, part])
+            stay = np.flatnonzero(part <= limit * (seen / dim) * slack + 1e-9)
+            if len(stay) < len(part):
+                at, part = stay + lo if at is None else at[stay], part[stay]
+                if not len(at):
+                    break
+        if len(part):
+            kept, near = np.concatenate([kept, np.arange(lo, hi) if at is None else at]), np.concatenate([near, part])
             if len(near) > k:
                 limit = np.partition(near, k - 1)[k - 1]
                 stay = near <= limit * (1 + 1e-6) + 1e-9
@@ -118,12 +124,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, sample: int = 20_000, chunk: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, sample: int = 20_000, chunk: int = 4096, per_list: int = 800) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each vector whose vec_id is divisible by ``every``.
 
     A query probes as many of the nearest lists as hold this share of the nearest in the sample, and more
-    until they hold ten times ``k`` vectors. Lists are searched in chunks, so a list with a
-    third of all vectors is many tasks. Ties go to the smaller vec_id. The index is fitted on a sample of
+    until they hold ten times ``k`` vectors. Lists hold about ``per_list`` vectors, up to 16,384 lists, and are
+    searched in chunks, so a list with a third of all vectors is many tasks. Ties go to the smaller vec_id. The index is fitted on a sample of
     about ``sample`` vectors; every vector is indexed. Rows equal in all are one; an empty table gives an
     empty one; further columns are not read.
     """
@@ -135,7 +141,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
         return spark.createDataFrame([], schema)
     chance = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
     rows = own.where(chance < sample / about["n"]).select("vec_id", "v").collect() or own.limit(1).collect()  # about `sample` rows
-    lists = int(min(16_384, max(1, round(about["n"] ** 0.5))))
+    lists = int(min(16_384, max(1, about["n"] // per_list)))
     points = np.array([r["v"] for r in sorted(rows)], np.float64)
     index = fit(points, float(about["m"]) ** 0.5, lists)
     lists = len(index.centres)
@@ -200,7 +206,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
                     if not ids:
                         continue
                     id_array, raw_array = np.array(ids, np.int64), np.array(raw)
-                    x = index.raised(raw_array)
+                    x = column_blocks(index.raised(raw_array))
                 some = scan(x, asked[i], k + 1)
                 some = some[id_array[some] != vec[i]]
                 score = (raw_array[some] * v[i]).sum(1)
