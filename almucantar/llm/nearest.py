@@ -111,6 +111,13 @@ def scan(x: list[np.ndarray], q: np.ndarray, k: int, epsilon: float = 2.1, block
     return kept
 
 
+def _partial(best_of: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """A task's best candidates by query."""
+    queries = np.repeat(list(best_of), [len(b[0]) for b in best_of.values()])
+    ids, scores = (np.concatenate([b[i] for b in best_of.values()]) for i in (0, 1))
+    return pa.RecordBatch.from_arrays([pa.array(queries, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.float64())], ["query_id", "vec_id", "score"])
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """vec_id and v (array<double>) of the vectors that take part, each row once.
 
@@ -124,7 +131,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("v") == (sizes[0]["n"] if sizes else 0))
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, sample: int = 20_000, chunk: int = 4096, per_list: int = 800) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, sample: int = 20_000, chunk: int = 4096, per_list: int = 800, most_queries: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each vector whose vec_id is divisible by ``every``.
 
     A query probes as many of the nearest lists as hold this share of the nearest in the sample, and more
@@ -189,12 +196,12 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     def nearest(batches):
         index, cell = sent.value, None
         ids, raw, x = [], [], None
+        best_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # merged over the task's cells, flushed when large
         for batch in batches:
             v = np.asarray(batch.column(4).flatten(), np.float64).reshape(-1, index.dim)
             keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
             kind, vec = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             asked = index.asked(v) if any(kind) else None
-            out = []
             for i, key in enumerate(keys):
                 if key != cell:
                     cell, ids, raw, x = key, [], [], None
@@ -210,9 +217,16 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
                 some = scan(x, asked[i], k + 1)
                 some = some[id_array[some] != vec[i]]
                 score = (raw_array[some] * v[i]).sum(1)
-                best = np.lexsort((id_array[some], -score))[:k]
-                out += [(vec[i], int(id_array[some[b]]), float(score[b])) for b in best]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
+                found, own = id_array[some], best_of.get(vec[i])
+                if own is not None:
+                    found, score = np.concatenate([own[0], found]), np.concatenate([own[1], score])
+                best = np.lexsort((found, -score))[:k]
+                best_of[vec[i]] = found[best], score[best]
+                if len(best_of) >= most_queries:
+                    yield _partial(best_of)
+                    best_of = {}
+        if best_of:
+            yield _partial(best_of)
 
     found = dealt.mapInArrow(nearest, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
