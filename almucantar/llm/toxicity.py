@@ -28,6 +28,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _tanh(x: np.ndarray) -> np.ndarray:
+    """By exp, which numpy has vectorised on more processors."""
+    return 2 / (1 + np.exp(np.minimum(-2 * x, 60))) - 1
+
+
 @dataclass
 class Text:
     """Words of some texts: the different ones with their n-grams, and the texts as sequences of them."""
@@ -121,17 +126,17 @@ class Network:
             h, u = np.zeros((n, HIDDEN), np.float32), self.w[f"h{side}"]
             kept[side] = []
             for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
-                x, r = gates[side][index[:, t]], h @ u
+                x, r = gates[side].take(index[:, t], axis=0), h @ u
                 zr = 1 / (1 + np.exp(-(x[:, : 2 * HIDDEN] + r[:, : 2 * HIDDEN])))
                 z, reset = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                new = np.tanh(x[:, 2 * HIDDEN :] + reset * r[:, 2 * HIDDEN :])
+                new = _tanh(x[:, 2 * HIDDEN :] + reset * r[:, 2 * HIDDEN :])
                 m = mask[:, t, None]
                 out = h + m * (1 - z) * (new - h)
                 if keep:
                     kept[side].append((t, h, z, reset, new, r[:, 2 * HIDDEN :], m))
                 states[t, :, k * HIDDEN : (k + 1) * HIDDEN] = out
                 h = out
-        e = np.tanh(states @ self.w["a"] + self.w["ac"])
+        e = _tanh(states @ self.w["a"] + self.w["ac"])
         s = np.where(mask.T > 0, e @ self.w["av"], -1e9)
         s = np.exp(s - s.max(0))
         alpha = s / s.sum(0) * (mask.sum(1) > 0)
@@ -170,7 +175,7 @@ class Network:
             d_gates[side] = d_x
         return g, d_gates
 
-    def logits(self, t: Text, most: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def logits(self, t: Text, most: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The logit of every window of all texts, with the window's first word and text."""
         first, size, text = windows(t.bounds)
         gates, out = self.projected(self.inputs(t)), np.empty(len(first), np.float32)
@@ -197,13 +202,18 @@ def window_words(t: Text, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     return np.where(mask, index, -1), mask.astype(np.float32)
 
 
-def _odds(rows: np.ndarray, docs: np.ndarray, label: np.ndarray, places: int) -> np.ndarray:
-    """Log odds of the labels of the documents that have a feature."""
-    pair = np.unique(rows.astype(np.int64) * (len(label) + 1) + docs)
-    rows, docs = pair // (len(label) + 1), pair % (len(label) + 1)
-    y = label[docs]
-    one, zero = np.bincount(rows[y == 1], minlength=places), np.bincount(rows[y == 0], minlength=places)
-    return np.log((one + 0.5) / (label.sum() + 1)) - np.log((zero + 0.5) / ((1 - label).sum() + 1)) * 1.0 - np.where(one + zero == 0, np.log((label == 0).sum() + 1) - np.log(label.sum() + 1), 0)
+def _odds(t: Text, shown: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log odds of the label of the documents that have a word, and a character n-gram, by bucket; 0 where none has."""
+    seen = [np.zeros((2, 1 << bits), np.int64) for bits in (WORD_BITS, CHAR_BITS)]
+    for doc in np.flatnonzero(learn):
+        own = np.unique(t.index[t.bounds[doc] : t.bounds[doc + 1]])
+        for n, buckets in zip(seen, (t.word[own], _grams(t, own)[0]), strict=True):
+            n[shown[doc], np.unique(buckets)] += 1
+    out = []
+    total = [max(1, int((shown[learn] == k).sum())) for k in (0, 1)]
+    for zero, one in seen:
+        out.append(np.where(zero + one > 0, np.log((one + 0.5) / (total[1] + 1)) - np.log((zero + 0.5) / (total[0] + 1)), 0.0))
+    return out[0], out[1]
 
 
 def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 10, seed: int = 5) -> Network:
@@ -216,14 +226,7 @@ def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 10, see
         return net
     t = read(pa.array(texts, pa.large_string()))
     aside = np.arange(len(y)) % 5 == 0
-    doc_of = np.repeat(np.arange(len(y)), np.diff(t.bounds))
-    learn = ~aside[doc_of]
-    at, doc = t.index[learn], doc_of[learn]
-    shown = np.where(aside, 0, y)
-    odds_w = _odds(t.word[at], doc, shown, 1 << WORD_BITS)
-    size = np.diff(t.cuts)[at]
-    grams = t.gram[np.repeat(t.cuts[:-1][at], size) + np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)]
-    odds_c = _odds(grams, np.repeat(doc, size), shown, 1 << CHAR_BITS)
+    odds_w, odds_c = _odds(t, y, ~aside)
     net.w["word"][:, 0] = np.clip(odds_w, -4, 6) / 3
     net.w["char"][:, 0] = np.clip(odds_c, -4, 6)
     first, length, text = windows(t.bounds)
