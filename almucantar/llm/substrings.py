@@ -27,9 +27,11 @@ from almucantar.llm.words import _bytes_of, mix
 GRAM = 24
 NO_ID = 2**63 - 1
 #: Text bytes whose anchors make up one bucket, about.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 #: Suffix arrays are built over about this many bytes at once; larger groups of one anchor are split first.
-ARRAY_BYTES = 1 << 20
+ARRAY_BYTES = 256 << 10
+#: Bytes that are hashed at once.
+SLICE = 1 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA5A5B3C1F0E1D2C3, 0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9)]
 _U8 = "<u8"
 
@@ -46,8 +48,29 @@ def _windows_hash(words: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarr
 def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     """Anchor hash, stretch id, first and last string start, and the anchor's place, for each stretch of ``data``.
 
-    ``at`` has the bounds of the documents in ``data``; strings do not cross them.
+    ``at`` has the bounds of the documents in ``data``; strings do not cross them. Work goes by slices of
+    about ``SLICE`` bytes; a stretch that a slice's end cuts becomes two.
     """
+    parts, k = [], 0
+    while k < len(at) - 1:
+        a = int(at[k])
+        j = int(np.searchsorted(at, a + SLICE, "right")) - 1
+        if j > k:  # whole documents
+            parts.append((a, _stretches(data[a : at[j]], at[k : j + 1] - a, length)))
+            k = j
+            continue
+        end = int(at[k + 1])
+        for lo in range(a, end, SLICE):
+            hi = min(end, lo + SLICE + length - 1)
+            parts.append((lo, _stretches(data[lo:hi], np.array([0, hi - lo]), length)))
+        k += 1
+    if not parts:
+        return _stretches(data[:0], at[:1], length)
+    h, sid, first, last, anchor = (np.concatenate([p[i] + (lo if i > 1 else p[i].dtype.type(0)) for lo, p in parts]) for i in range(5))
+    return h, sid, first, last, anchor
+
+
+def _stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
@@ -267,28 +290,30 @@ def _compare(length: int):
 def shared_strings(h: np.ndarray, doc: np.ndarray, size: np.ndarray, left: np.ndarray, at: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
     """The smallest doc_id that has each string of each stretch, given the smallest that has the stretch.
 
-    Two stretches of one anchor that share a string also share the bytes on the left or on the right of the
-    anchor over half of what the string has beside it; stretches without such a partner are left out of the
-    suffix arrays, and large groups are split by these sides.
+    Two stretches of one anchor that share a string also share bytes next to the anchor, on both sides
+    together as many as the string has beside it. So stretches without a partner that shares nearly as many,
+    for some split of them between the sides, are left out of the suffix arrays; and large groups are split
+    by half of the bytes on either side.
     """
     strings = size - length + 1
     where = np.cumsum(strings) - strings
     least = np.repeat(doc, strings)
-    side = (length - GRAM) // 2
-    keys = []
-    for begin, there in ((left - side, left >= side), (left + GRAM, left + GRAM + side <= size)):
-        i = np.flatnonzero(there)
+    beside, grid = length - GRAM, 4
+    around = [_outward(text, at + left - 1, left, -1, beside), _outward(text, at + left + GRAM, size - left - GRAM, 1, beside)]
+    some = np.zeros(len(h), bool)
+    for l in range(0, beside + 1, grid):
+        r = max(0, beside - l - grid + 1)
+        i = np.flatnonzero((left >= l) & (size - left - GRAM >= r))
+        _, back, count = np.unique(mix(h[i] + around[0][l][i] * _ODD[1] + around[1][r][i] * _ODD[2]), return_inverse=True, return_counts=True)
+        some[i] |= count[back] > 1
+    side, keys, partner = beside // 2, [], []
+    for sums, there in zip(around, (left, size - left - GRAM), strict=True):
         key = mix(np.arange(len(h), dtype=np.uint64) * np.uint64(2) + np.uint64(1))  # alone
-        value = h[i].copy()
-        for j in range(side):
-            value = mix(value + text[at[i] + begin[i] + j].astype(np.uint64) * _ODD[0])
-        key[i] = value
-        keys.append(key)
-    partner = []
-    for key in keys:
+        i = there >= side
+        key[i] = mix(h[i] + sums[side][i])
         _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        keys.append(key)
         partner.append(count[back] > 1)
-    some = partner[0] | partner[1]
     order = np.flatnonzero(some)[np.argsort(h[some], kind="stable")]
     chunk, held = [], 0
     for group in np.split(order, np.flatnonzero(np.diff(h[order])) + 1) if len(order) else []:
@@ -310,6 +335,15 @@ def shared_strings(h: np.ndarray, doc: np.ndarray, size: np.ndarray, left: np.nd
     return least
 
 
+def _outward(text: np.ndarray, start: np.ndarray, there: np.ndarray, step: int, most: int) -> list[np.ndarray]:
+    """Hashes of the first 0 to ``most`` bytes from each place in one direction; what lies beyond ``there`` means nothing."""
+    out = [np.zeros(len(start), np.uint64)]
+    for j in range(most):
+        byte = text[np.where(j < there, start + step * j, 0)].astype(np.uint64)
+        out.append(mix(out[-1] * _ODD[3] + byte + np.uint64(1)))
+    return out
+
+
 def _by_array(groups: list[np.ndarray], size: np.ndarray, at: np.ndarray, text: np.ndarray, where: np.ndarray, least: np.ndarray, length: int) -> None:
     """Lowers ``least`` to the smallest among equal strings, found as runs in the suffix array of the stretches."""
     own = np.concatenate(groups)
@@ -402,7 +436,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_kept: bool = False) -
     A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller
     doc_id, judged on the input. Null texts are empty; rows without a doc_id count as after all others;
     rows that share a doc_id are not earlier than one another. An empty table gives an empty one; further
-    columns are not read. Texts over 4 GB are refused.
+    columns are not read.
     """
     spark = docs.sparkSession
     if length < GRAM + 8:
@@ -410,7 +444,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_kept: bool = False) -
     shared.small_arrow_batches(spark)
     path = shared.new_dir(spark, "texts")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    narrow.write.option("compression", "zstd").option("parquet.block.size", 8 << 20).parquet(path)
+    narrow.write.option("compression", "zstd").option("parquet.block.size", 4 << 20).parquet(path)
     own = spark.read.schema(narrow.schema).parquet(path)
     size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     uris = sorted(own.inputFiles()) if not own.isEmpty() else []
