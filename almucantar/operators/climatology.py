@@ -21,14 +21,12 @@ def sums(samples: DataFrame, keys: list[str], ts: str = "ts", value: str = "valu
 def _bracket(x: Column, points: list[float], period: float) -> Column:
     """The two points around x on a circle with their weights, as an array of structs (index, weight)."""
     n = len(points)
-    edges = [*points, points[0] + period]
+    edges = F.lit([*points, points[0] + period])
     y = F.when(x < points[0], x + period).otherwise(x)
-    out = F.array(F.struct(F.lit(0).alias("k"), F.lit(1.0).alias("w")))
-    for k in reversed(range(n)):
-        w = (y - edges[k]) / (edges[k + 1] - edges[k])
-        pair = F.array(F.struct(F.lit(k).alias("k"), (F.lit(1.0) - w).alias("w")), F.struct(F.lit((k + 1) % n).alias("k"), w.alias("w")))
-        out = F.when(y.between(edges[k], edges[k + 1]), pair).otherwise(out)
-    return out
+    k = F.least(F.greatest(F.size(F.filter(edges, lambda e: e < y)) - 1, F.lit(0)), F.lit(n - 1))
+    lo, hi = F.element_at(edges, k + 1), F.element_at(edges, k + 2)
+    w = (y - lo) / (hi - lo)
+    return F.array(F.struct(k.alias("k"), (F.lit(1.0) - w).alias("w")), F.struct(((k + 1) % n).alias("k"), w.alias("w")))
 
 
 def month_weights(ts: Column) -> Column:
