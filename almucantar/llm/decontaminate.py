@@ -17,11 +17,14 @@ from pyspark.sql import functions as F
 
 from almucantar.llm import shared, words
 
-#: The masks by span; 1 is a place that counts. An item uses the longest span it has words for.
+#: The masks by the fewest words of an item that uses them; 1 is a place that counts. Every stretch of
+#: that many words and more of which 80 % are equal has a place where all that some mask counts are equal. It is
+#: enough that this holds below twice as many words: of a longer stretch's two halves one has 80 % equal itself.
 MASKS = {
-    13: ("1110110101111", "1101011110111", "1011101111011", "1111011011101"),
-    8: ("11101111", "11011011", "11110111"),
-    5: ("11011", "10111", "11101"),
+    13: ("1111011", "110100010011", "110101011", "1110111"),
+    10: ("1110111", "111001011", "1011111", "11111001", "1100101011"),
+    8: ("1111011", "1101111", "111111"),
+    5: ("1111", "11011", "11101", "10111"),
 }
 _FLAGS = 22
 _PLACE = words.mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -38,9 +41,10 @@ class Items:
 
 
 def seeds(hashes: np.ndarray, span: int) -> list[np.ndarray]:
-    """For each mask of a span the seed from every word on."""
-    n, out = len(hashes) - span + 1, []
+    """For each mask of a span the seed from every word on that it has words for."""
+    out = []
     for k, mask in enumerate(MASKS[span]):
+        n = len(hashes) - len(mask) + 1
         total = np.full(max(0, n), k + 1, np.uint64)
         for i, c in enumerate(mask):
             if c == "1" and n > 0:
@@ -59,7 +63,7 @@ def block(ids: list[int], texts: list[str]) -> Items:
             if max((s for s in MASKS if s <= b - a), default=0) == span:
                 for own in seeds(hashes[a:b], span):
                     values.append(own)
-                    firsts.append(np.arange(a, b - span + 1))
+                    firsts.append(np.arange(a, a + len(own)))
         if values:
             value, first = np.concatenate(values), np.concatenate(firsts)
             order = np.argsort(value, kind="stable")
@@ -73,14 +77,14 @@ def overlaps(hashes: np.ndarray, bounds: np.ndarray, items: Items, per_cent: int
     """Text, item, first word in the text, length and equal words of the best overlap for each pair that has one."""
     pairs = []
     for span, (value, first, flags) in items.seeds.items():
-        for own in seeds(hashes, span):
+        for mask, own in zip(MASKS[span], seeds(hashes, span), strict=True):
             at = np.flatnonzero(flags[(own >> np.uint64(64 - _FLAGS)).astype(np.int64)])
             lo, hi = np.searchsorted(value, own[at]), np.searchsorted(value, own[at], "right")
             n = hi - lo
             at = np.repeat(at, n)
             k = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
             text = np.searchsorted(bounds, at, "right") - 1
-            whole = at + span <= bounds[text + 1]
+            whole = at + len(mask) <= bounds[text + 1]
             pairs.append(np.stack([text, np.searchsorted(items.bounds, first[k], "right") - 1, at - first[k]])[:, whole])
     if not pairs:
         return []
