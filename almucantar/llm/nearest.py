@@ -45,6 +45,11 @@ class Index:
         """Squared distances to all centres."""
         return (x * x).sum(1)[:, None] - 2 * x @ self.centres.T + (self.centres**2).sum(1)
 
+    def nearest(self, x: np.ndarray) -> np.ndarray:
+        """The list of each vector, in pieces of at most about 64 MB."""
+        n = max(1, min(4096, (1 << 23) // max(1, len(self.centres))))
+        return np.concatenate([self.distances(x[i : i + n]).argmin(1) for i in range(0, len(x), n)]) if len(x) else np.zeros(0, np.int64)
+
 
 def fit(sample: np.ndarray, norm: float, lists: int, rounds: int = 12, seed: int = 23) -> Index:
     """Centres by k-means on a sample."""
@@ -56,7 +61,7 @@ def fit(sample: np.ndarray, norm: float, lists: int, rounds: int = 12, seed: int
     different = np.unique(x, axis=0)
     index.centres = different[rng.permutation(len(different))[:lists]]
     for _ in range(rounds):
-        near = np.concatenate([index.distances(x[i : i + 4096]).argmin(1) for i in range(0, len(x), 4096)])
+        near = index.nearest(x)
         n = np.bincount(near, minlength=len(index.centres))
         total = np.zeros_like(index.centres)
         np.add.at(total, near, x)
@@ -64,20 +69,37 @@ def fit(sample: np.ndarray, norm: float, lists: int, rounds: int = 12, seed: int
     return index
 
 
-def probes_for(index: Index, sample: np.ndarray, k: int, recall: float, queries: int = 200) -> int:
-    """How many lists to probe so that, within the sample, this share of the ``k`` nearest lies in them."""
-    x = np.concatenate([index.raised(sample[i : i + 4096]) for i in range(0, len(sample), 4096)])
-    near = np.concatenate([index.distances(x[i : i + 4096]).argmin(1) for i in range(0, len(x), 4096)])
-    needed = []
-    for i in np.linspace(0, len(sample) - 1, min(queries, len(sample))).astype(np.int64):
-        score = sample @ sample[i]
-        score[i] = -np.inf
-        best = np.argpartition(-score, min(k, len(score) - 1))[: min(k, len(score) - 1)]
-        place = np.empty(len(index.centres), np.int64)
-        place[index.distances(index.asked(sample[i : i + 1]))[0].argsort(kind="stable")] = np.arange(len(index.centres))
-        needed.append(place[near[best]])
-    needed = np.sort(np.concatenate(needed)) if needed else np.zeros(0, np.int64)
-    return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1 if len(needed) else 1
+def true_nearest(placed: DataFrame, queries: list, k: int) -> list:
+    """query, list: where the ``k`` nearest of each of some vectors (vec_id, v) lie, by comparison with the whole table."""
+    ids, q = np.array([r["vec_id"] for r in queries], np.int64), np.array([r["v"] for r in queries], np.float64)
+
+    def best(batches):
+        lists, scores = np.zeros((len(q), 0), np.int32), np.zeros((len(q), 0))
+        for batch in batches:
+            v = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, q.shape[1])
+            score = q @ v.T
+            score[ids[:, None] == np.asarray(batch.column(0))[None, :]] = -np.inf
+            scores = np.concatenate([scores, score], 1)
+            lists = np.concatenate([lists, np.broadcast_to(np.asarray(batch.column(2), np.int32), score.shape)], 1)
+            if scores.shape[1] > k:
+                top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+                scores, lists = np.take_along_axis(scores, top, 1), np.take_along_axis(lists, top, 1)
+        query, at = np.nonzero(scores > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(query.astype(np.int32)), pa.array(lists[query, at]), pa.array(scores[query, at])], ["query", "list", "score"])
+
+    found = placed.select("vec_id", "v", "list").mapInArrow(best, "query int, list int, score double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "list"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query", "list").collect()  # k rows for each query
+
+
+def probes_for(index: Index, queries: list, near: list, recall: float) -> int:
+    """How many lists to probe so that this share of the nearest (of ``true_nearest``) lies in them; without any, all."""
+    if not near:
+        return len(index.centres)
+    order = np.argsort(index.distances(index.asked(np.array([r["v"] for r in queries], np.float64))), axis=1, kind="stable")
+    place = np.argsort(order, axis=1, kind="stable")
+    needed = np.sort(place[[r["query"] for r in near], [r["list"] for r in near]])
+    return int(needed[min(len(needed) - 1, int(recall * len(needed)))]) + 1
 
 
 def column_blocks(x: np.ndarray) -> list[np.ndarray]:
@@ -134,10 +156,10 @@ def usable(vectors: DataFrame) -> DataFrame:
 def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.95, sample: int = 20_000, chunk: int = 4096, per_list: int = 800, most_queries: int = 20_000) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each vector whose vec_id is divisible by ``every``.
 
-    A query probes as many of the nearest lists as hold this share of the nearest in the sample, and more
-    until they hold ten times ``k`` vectors. Lists hold about ``per_list`` vectors, up to 16,384 lists, and are
+    A query probes as many of the nearest lists as hold this share of the true nearest of about 200 vectors, which
+    are held out from the fit of the lists and compared with the whole table, and more until they hold ten times ``k`` vectors. Lists hold about ``per_list`` vectors, up to 16,384 lists, and are
     searched in chunks, so a list with a third of all vectors is many tasks. Ties go to the smaller vec_id. The index is fitted on a sample of
-    about ``sample`` vectors; every vector is indexed. Rows equal in all are one; an empty table gives an
+    about ``sample`` vectors, at least 16 for each list; every vector is indexed. Rows equal in all are one; an empty table gives an
     empty one; further columns are not read.
     """
     spark = vectors.sparkSession
@@ -146,23 +168,29 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     about = own.agg(F.count("*").alias("n"), F.max(F.expr("aggregate(v, 0D, (s, x) -> s + x * x)")).alias("m")).first()
     if not about["n"]:
         return spark.createDataFrame([], schema)
-    chance = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) / float(1 << 30)
-    rows = own.where(chance < sample / about["n"]).select("vec_id", "v").collect() or own.limit(1).collect()  # about `sample` rows
     lists = int(min(16_384, max(1, about["n"] // per_list)))
-    points = np.array([r["v"] for r in sorted(rows)], np.float64)
+    chance = lambda seed: F.pmod(F.xxhash64("vec_id", "v", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    asks = chance(5) < min(200 / about["n"], 0.25)
+    held_out = sorted(own.where(asks).select("vec_id", "v").collect())  # about 200 rows
+    table = own.where(~asks & (chance(3) < max(sample, 16 * lists) / about["n"])).select("vec_id", "v").toArrow()  # bounded by the lists
+    if not table.num_rows:
+        table = own.select("vec_id", "v").limit(1).toArrow()
+    points = table.column(1).combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
+    points = points[np.lexsort([*points.T[::-1], table.column(0).to_numpy()])]
+    del table
     index = fit(points, float(about["m"]) ** 0.5, lists)
     lists = len(index.centres)
-    n_probes = probes_for(index, points, k, recall)
     sent = spark.sparkContext.broadcast(index)  # bounded: at most 16384 centres
 
     def assign(batches):
         index = sent.value
         for batch in batches:
             x = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, index.dim)
-            near = np.concatenate([index.distances(index.raised(x[i : i + 2048])).argmin(1) for i in range(0, len(x), 2048)]) if len(x) else np.zeros(0)
+            near = index.nearest(index.raised(x))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near.astype(np.int32))], ["vec_id", "v", "list"])
 
     placed = shared.written(own.select("vec_id", "v").mapInArrow(assign, "vec_id long, v array<double>, list int"), "placed")
+    n_probes = probes_for(index, held_out, true_nearest(placed, held_out, k) if held_out else [], recall)
     held = np.zeros(lists, np.int64)
     for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
         held[r["list"]] = r["n"]

@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 
-from almucantar.llm import decontaminate, words
+from almucantar.llm import decontaminate, nearest, words
 
 
 def substituted(size):
@@ -40,3 +40,14 @@ def test_substituted_items_are_found():
                 equal = sum(a == b for a, b in zip(doc, text, strict=True))
                 found = decontaminate.overlaps(*words.word_hashes(pa.array([" ".join(doc)])), decontaminate.block([7], [" ".join(text)]), 80, 13)
                 assert found or 100 * equal < 80 * size, (size, period, first)
+
+
+def test_nearest_recall_with_many_lists(spark):
+    x = np.random.default_rng(8).normal(size=(6000, 32))
+    vectors = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    hit = 0
+    for r in nearest.search(vectors, per_list=20, sample=600).groupBy("query_id").agg({"vec_id": "collect_list"}).collect():
+        score = x @ x[r[0]]
+        score[r[0]] = -np.inf
+        hit += len(set(r[1]) & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.9 * 20 * 300, hit / 6000
