@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from almucantar.operators import columns
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of text files with their file and number, in order within each file."""
@@ -13,7 +15,11 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def soundings(lines: DataFrame) -> DataFrame:
-    """Fixed-width soundings from lines (file, line_no, line): header and level fields by position, missing values as null."""
+    """Fixed-width soundings from lines (file, line_no, line): header and level fields by position, missing values as null.
+
+    A sounding stays if, with missing heights filled and only rising levels counted, it has three levels, begins at the
+    surface and reaches 3000 m; the levels themselves are given as they were read.
+    """
     head = F.col("line").startswith("#")
     own = lines.withColumn("sounding", F.sum(head.cast("int")).over(Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -25,7 +31,11 @@ def soundings(lines: DataFrame) -> DataFrame:
     heads = heads.where("hour != 99").select("file", "sounding", F.timestamp_add("MINUTE", hour, F.col("day")).alias("release"))
     levels = own.where(~head).select("file", "sounding", "line_no", (F.substring("line", 2, 1) == "1").alias("surface"), number(10, 6).alias("p"), number(17, 5).alias("z"), number(23, 5).alias("t"))
     levels = levels.where("p >= 0 and t not in (-9999, -8888)")
-    return heads.join(levels, ["file", "sounding"]).select("file", "sounding", "release", "line_no", "surface", (F.col("p") / 100.0).alias("p"), F.when(~F.col("z").isin(-9999, -8888), F.col("z").cast("double")).alias("z"), (F.col("t") / 10.0).alias("t"))
+    rows = heads.join(levels, ["file", "sounding"]).select("file", "sounding", "release", "line_no", "surface", (F.col("p") / 100.0).alias("p"), F.when(~F.col("z").isin(-9999, -8888), F.col("z").cast("double")).alias("z"), (F.col("t") / 10.0).alias("t"))
+    keys = ["file", "sounding"]
+    whole = columns.rising(columns.filled_heights(rows, keys), keys).groupBy(*keys).agg(F.count("*").alias("n"), F.max("z").alias("top"))
+    whole = whole.where("n >= 3 and top >= 3000").join(rows.groupBy(*keys).agg(F.max_by("surface", "p").alias("first")).where("first"), keys)
+    return rows.join(whole, keys, "left_semi")
 
 
 def observations(lines: DataFrame) -> DataFrame:
@@ -45,8 +55,47 @@ def first_per_day(rows: DataFrame, order: str) -> DataFrame:
 
 def daily_aod(rows: DataFrame) -> DataFrame:
     """Photometer days (site, date, aod500, angstrom): at 550 nm; missing or odd exponents as 1.3, missing depths left out."""
-    exponent = F.when((F.col("angstrom") > -1) & (F.col("angstrom") < 4), F.col("angstrom")).otherwise(1.3)
-    return rows.where("aod500 >= 0 and aod500 != -999").select("site", "date", (F.col("aod500") * F.pow(F.lit(550 / 500), -exponent)).alias("aod550"))
+    return rows.where("aod500 >= 0 and aod500 != -999").select("site", "date", _at_550("aod500", "angstrom").alias("aod550"))
+
+
+def photometer_days(lines: DataFrame) -> DataFrame:
+    """Lines (file, line_no, line) of daily photometer files as file, site, lat, lon, date, aod550.
+
+    Columns are found by name in the first line that has the date's; a file without that line gives nothing and
+    one without a needed column is an error. The last row of a day counts; rows that cannot be read are left out.
+    """
+    own = lines.select("file", "line_no", F.posexplode(F.split("line", "<br>")).alias("part", "text"))
+    own = own.select("file", F.struct("line_no", "part").alias("at"), F.split(F.trim("text"), ",").alias("f"), F.contains("text", F.lit("Date(dd:mm:yyyy)")).alias("names"))
+    heads = own.where("names").groupBy("file").agg(F.min_by("f", "at").alias("names"), F.min("at").alias("head"))
+
+    def place(test) -> Column:
+        at = F.transform("names", lambda c, k: F.when(test(c), k + 1))
+        return F.array_min(at)
+
+    needed = {
+        "site": place(lambda c: c.isin("AERONET_Site", "AERONET_Site_Name")),
+        "day": place(lambda c: c == "Date(dd:mm:yyyy)"),
+        "aod": place(lambda c: c == "AOD_500nm"),
+        "lat": place(lambda c: F.contains(c, F.lit("Site_Latitude"))),
+        "lon": place(lambda c: F.contains(c, F.lit("Site_Longitude"))),
+    }
+    most = F.greatest(*needed.values())
+    complete = F.when(F.array_contains(F.array(*[c.isNull() for c in needed.values()]), True), F.raise_error(F.concat(F.lit("unexpected photometer columns: "), F.concat_ws(",", "names"))).cast("int")).otherwise(most)
+    heads = heads.select("file", "head", complete.alias("most"), *[c.alias(f"i_{k}") for k, c in needed.items()], place(lambda c: c == "440-870_Angstrom_Exponent").alias("i_exponent"))
+    rows = own.drop("names").join(heads, "file").where("at > head and size(f) >= most")
+    value = {k: F.trim(F.get("f", F.col(f"i_{k}") - 1)) for k in (*needed, "exponent")}
+    rows = rows.select("file", "at", F.get("f", F.col("i_site") - 1).alias("site"), F.try_to_date(value["day"], "d:M:yyyy").alias("date"), *[value[k].try_cast("double").alias(k) for k in ("lat", "lon")], value["aod"].try_cast("double").alias("aod500"), F.when(F.col("i_exponent").isNull(), F.lit(-999.0)).otherwise(value["exponent"].try_cast("double")).alias("angstrom"))
+    rows = rows.where("date is not null and lat is not null and lon is not null and angstrom is not null and aod500 >= 0")
+    first = Window.partitionBy("file", "site").orderBy("at")
+    rows = rows.withColumns({"lat": F.first("lat").over(first), "lon": F.first("lon").over(first)})
+    days = rows.groupBy("file", "site", "lat", "lon", "date").agg(F.max_by(F.struct("aod500", "angstrom"), "at").alias("v"))
+    return days.select("file", "site", "lat", "lon", "date", _at_550("v.aod500", "v.angstrom").alias("aod550"))
+
+
+def _at_550(depth: str, angstrom: str) -> Column:
+    """A depth at 500 nm taken to 550 nm."""
+    a = F.col(angstrom)
+    return F.col(depth) * F.pow(F.lit(550 / 500), -F.when((a > -1) & (a < 4), a).otherwise(1.3))
 
 
 def reading_reason(sqm: Column, cloud: Column, day: Column, sun: Column, moon: Column, least: float = 16.0, most: float = 22.1, sun_most: float = -18.0) -> Column:
@@ -73,9 +122,21 @@ def geojson_polygons(features: DataFrame, column: str = "feature") -> DataFrame:
     return features.select(F.get_json_object(column, "$.properties.id").alias("id"), F.filter(whole, lambda p: F.size(p) > 0).alias("polygons"))
 
 
-def byte_ranges(index: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Index rows (file, pos, name, level) of the wanted names and levels as ranges, neighbours merged; the last has no end."""
-    order = Window.partitionBy("file").orderBy("pos")
-    rows = index.withColumns({"end": F.lead("pos").over(order) - 1, "i": F.row_number().over(order)}).join(wanted, ["name", "level"], "left_semi")
+def byte_ranges(index: DataFrame, wanted: DataFrame, optional: DataFrame | None = None) -> DataFrame:
+    """Index rows (file, pos, name, level) of the wanted names and levels as ranges, neighbours merged; the last has no end.
+
+    Each field is taken once, where it first stands. A file that lacks a wanted field which is not ``optional`` is an error.
+    """
+    order, field = Window.partitionBy("file").orderBy("pos"), ["name", "level"]
+    rows = index.withColumns({"end": F.lead("pos").over(order) - 1, "i": F.row_number().over(order)}).join(wanted, field, "left_semi")
+    once = F.row_number().over(Window.partitionBy("file", *field).orderBy("pos"))
+    rows = rows.withColumn("_n", once).where("_n = 1").drop("_n")
+    needed = wanted.join(optional, field, "left_anti") if optional is not None else wanted
+    missing = index.select("file").distinct().crossJoin(needed.select(*field).distinct()).join(index, ["file", *field], "left_anti")
+    field_names = F.concat_ws(" ", F.lit("field not in the file:"), "file", "name", "level")
+    missing = missing.groupBy("file").agg(F.min(field_names).alias("message"))  # the error stays above the join
     picked = rows.withColumn("run", F.col("i") - F.row_number().over(order))
-    return picked.groupBy("file", "run").agg(F.min("pos").alias("start"), F.max_by("end", "pos").alias("end"), F.count("*").alias("parts")).drop("run")
+    ranges = picked.groupBy("file", "run").agg(F.min("pos").alias("start"), F.max_by("end", "i").alias("end"), F.count("*").alias("parts")).drop("run")
+    failed = missing.where(F.raise_error(F.col("message")).isNotNull())
+    none = [F.lit(None).cast(ranges.schema[c].dataType).alias(c) for c in ("start", "end", "parts")]
+    return ranges.unionByName(failed.select("file", *none))
