@@ -156,7 +156,7 @@ class _Group:
             self.bands, self.size = np.stack([r[3] for r in self.rows]), np.array([len(r[2]) for r in self.rows])
             self.ready = True
         same = self.bands == bands
-        here = (self.label != label) & (self.rep != rep) & (same.sum(1) > 1) & (bands[same.argmax(1)] == key)
+        here = (self.label != label) & (self.rep != rep) & (same.sum(1) > 0) & (bands[same.argmax(1)] == key)
         here &= 100 * np.minimum(self.size, len(own)) >= per_cent * np.maximum(self.size, len(own))
         out = []
         for i in np.flatnonzero(here):

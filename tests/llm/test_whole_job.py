@@ -5,7 +5,7 @@ import itertools
 import numpy as np
 import pyarrow as pa
 
-from almucantar.llm import decontaminate, nearest, words
+from almucantar.llm import decontaminate, minhash, nearest, words
 
 
 def substituted(size):
@@ -51,3 +51,9 @@ def test_nearest_recall_with_many_lists(spark):
         score[r[0]] = -np.inf
         hit += len(set(r[1]) & set(np.argsort(-score)[:20].tolist()))
     assert hit >= 0.9 * 20 * 300, hit / 6000
+
+
+def test_pairs_that_share_one_band_are_looked_at():
+    group, own = minhash._Group(), np.arange(20, dtype=np.uint64)
+    group.add(1, 1, own[:19], np.array([5, 6, 7]))
+    assert group.links(5, 2, 2, own, np.array([5, 8, 9]), 80) == [1]
