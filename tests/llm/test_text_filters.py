@@ -2,11 +2,14 @@
 
 import hashlib
 import re
+import time
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
 
 from almucantar.llm import decontaminate, langid, secrets, toxicity, words
 
@@ -46,6 +49,66 @@ def test_lexer_carries_literals_through_names():
     assert "kQpL" not in secrets.redact_text(text) and "hello there friend" in secrets.redact_text(text)
 
 
+KEY = "q9Zx7Lm2Rt8Vb4Ny"
+
+
+@pytest.mark.parametrize(
+    "code",
+    [
+        '{"name": "db_password", "value": "%s"}',
+        "const pwd = `%s`",
+        'pwd = """%s"""',
+        'const pwd: string = "%s"',
+        "db_pass: |\n  %s\nnext: 1",
+        'client.credential = x\nx = "%s"',
+        "- name: DB_PWD\n  value: %s\n",
+        "- value: %s\n  name: DB_PWD\n",
+        '<add key="pwd" value="%s"/>',
+        '# old_pwd = "%s"',
+        '/* pwd = "%s" */',
+        'config["pwd"] = "%s"',
+        "'pwd' => '%s',",
+        'let pwd: &str = "%s";',
+        'pwd = os.environ.get("X", "%s")',
+        'pwd = ("%s")',
+        "export PWD_MAIN=%s",
+    ],
+)
+def test_lexer_reads(code):
+    text = code.replace("%s", KEY)
+    assert KEY in [text[a:b].strip("\"'`") for a, b in secrets.lexed_spans(text)]
+
+
+def test_lexer_joins_and_tells_apart():
+    text = 'a = "q9Zx7L"\nb = "m2Rt8Vb4Ny"\nmy_pwd = a + b\nc = "q9Zx7L" + "m2Rt8Vb4Ny"'
+    assert [text[a:b] for a, b in secrets.lexed_spans(text)] == ['"q9Zx7L"', '"m2Rt8Vb4Ny"']
+    assert secrets.lexed_spans(f'# x = "{KEY}"\npwd = x') == []  # a comment binds no name of the code
+    assert secrets.lexed_spans("a = b\nb = a\npwd = a") == [] and secrets.lexed_spans(f'- name: DB_PWD\n- value: "{KEY}"') == []
+    assert secrets.lexed_spans("x = x + x\n" * 2000 + "pwd = x") == []
+
+
+@pytest.mark.parametrize("piece", ['pwd = "a1b2c3d4X" ;', "a=b;", "<a b='c' ", "- a: b\n  value: c\n", "a-", "x=f(", "password = aaaaaaaa1 ", "/* a=b */ ", "'", "{"])
+def test_scan_is_linear(piece):
+    took = []
+    for size in (40_000, 320_000):
+        text = piece * (size // len(piece))
+        began = time.process_time()
+        secrets.all_spans(text, secrets.base_spans(text))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * took[0] + 0.5
+
+
+def test_spans_against_every_base_span():
+    rng = np.random.default_rng(3)
+    for _ in range(200):
+        base = sorted((int(a), 0, int(a + n)) for a, n in zip(rng.integers(0, 60, 6), rng.integers(1, 20, 6), strict=True))
+        lexed = sorted({(int(a), int(a + n)) for a, n in zip(rng.integers(0, 60, 6), rng.integers(1, 20, 6), strict=True)})
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(secrets, "lexed_spans", lambda text, lexed=lexed: lexed)
+            found = secrets.all_spans("", base)
+        assert found == sorted(base + [(s, 3, e) for s, e in lexed if not any(b <= s + 1 and e - 1 <= f for b, _, f in base)])
+
+
 def test_decontamination_finds_substituted_passages(spark):
     rng = np.random.default_rng(5)
     make = lambda n: [f"w{i}" for i in rng.integers(0, 5000, n)]
@@ -59,10 +122,37 @@ def test_decontamination_finds_substituted_passages(spark):
     d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(docs)] + [(90, None), (91, ""), (None, " ".join(items[0]))], "doc_id long, text string")
     b = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)] + [(9, None)], "item_id long, text string")
     got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(d, b).collect()), key=str)
-    assert got == sorted([(3, 0), (4, 0), (5, 1), (6, 2), (None, 0)], key=str)
-    assert decontaminate.clean(d, b).count() == d.count() - 5
+    expected = sorted([(3, 0), (4, 0), (5, 1), (6, 2), (7, 3), (None, 0)], key=str)
+    assert got == expected
+    clashing = d.withColumns({"key": F.lit(1), "_key0": F.lit(2), "seed": F.lit(3)})
+    left = decontaminate.clean(clashing, b)
+    assert left.columns == clashing.columns and left.count() == d.count() - 6
+    hot = d.unionByName(d.selectExpr("doc_id + 1000 AS doc_id", "concat(text, ' ', doc_id) AS text"))  # seeds that several texts share
+    found = decontaminate.contaminated(hot, b.unionByName(b.withColumn("item_id", F.col("item_id") + 100)), most=1)
+    more = [(a if a is None else a + k, i + j) for a, i in expected for k in ((0,) if a is None else (0, 1000)) for j in (0, 100)]
+    assert sorted(((r["doc_id"], r["item_id"]) for r in found.collect()), key=str) == sorted(more, key=str)
     assert decontaminate.contaminated(d, b.limit(0)).count() == 0 and decontaminate.contaminated(d.limit(0), b).count() == 0
-    assert sum(len(x.ids) for x in decontaminate.blocks(b, most_words=20)) == 4
+
+
+def test_overlap_against_all_stretches():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        equal = rng.random(rng.integers(0, 25)) < rng.random()
+        for need, per_cent in ((1, 80), (5, 80), (13, 90), (4, 100)):
+            fits = [(b - a, -a) for a in range(len(equal)) for b in range(a + 1, len(equal) + 1) if b - a >= need and 100 * equal[a:b].sum() >= per_cent * (b - a)]
+            found = decontaminate.overlap(equal, need, per_cent)
+            assert (found and found[1] - found[0]) == (max(fits)[0] if fits else None)
+            if found:
+                assert 100 * equal[found[0] : found[1]].sum() >= per_cent * (found[1] - found[0])
+    began = time.perf_counter()
+    assert decontaminate.overlap(np.ones(2_000_000, bool), 13, 80) == (0, 2_000_000) and time.perf_counter() - began < 5
+
+
+def test_bloom_filter_has_all(spark):
+    values = np.random.default_rng(2).integers(0, 2**63, 5000).astype(np.uint64)
+    rows = spark.createDataFrame([(int(v), 13) for v in values[:2500].view(np.int64)], "seed long, span int")
+    own = decontaminate.bloom(rows, 2500)
+    assert np.isin(np.arange(2500), own.has(values)).all() and len(own.has(values)) < 2520 and own.spans == [13]
 
 
 def test_language_held_out(spark):
@@ -78,15 +168,15 @@ def test_language_held_out(spark):
 
 
 def test_toxicity_held_out():
-    rows = duckdb.sql("SELECT d.doc_id, text, toxic FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) WHERE lang = 'en' ORDER BY 1 LIMIT 900").fetchall()
+    rows = duckdb.sql("SELECT d.doc_id, text, toxic FROM '/root/testdata/sf0.1/documents.parquet' d JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) ORDER BY toxic DESC, doc_id LIMIT 2200").fetchall()
     held = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 == 1]
     known = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1]
-    net = toxicity.fit([r[1] for r in known], [r[2] for r in known], sum(r[2] for r in known) / len(known), epochs=5)
+    net = toxicity.fit([r[1] for r in known], [r[2] for r in known], sum(r[2] for r in known) / len(known))
     p = net.scores(toxicity.read(pa.array([r[1] for r in held])))
     y = np.array([r[2] for r in held])
     order = np.argsort(np.argsort(p))
     auc = (order[y == 1].sum() - y.sum() * (y.sum() - 1) / 2) / (y.sum() * (len(y) - y.sum()))
-    assert auc > 0.9
+    assert auc > 0.97 and (p[y == 1] >= 0.7).mean() > 0.9 and (p[y == 0] >= 0.7).mean() < 0.05
     odd = net.scores(toxicity.read(pa.array(["", None, "a", "a b " * 50])))
     assert odd[0] == odd[1] and ((odd >= 0) & (odd <= 1)).all()
 
@@ -94,6 +184,8 @@ def test_toxicity_held_out():
 def test_network_gradient():
     net = toxicity.Network.new(1)
     t = toxicity.read(pa.array(["one two three four five", "six seven"]))
+    apart = toxicity.read_all(["one two three four five", "six seven"], most_bytes=1)
+    assert (net.scores(t) == net.scores(apart)).all() and (apart.hash == t.hash).all() and (apart.index == t.index).all()
     first, size, _ = toxicity.windows(t.bounds)
     index, mask = toxicity.window_words(t, first, size)
     for k in net.w:
