@@ -26,7 +26,8 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m", "a")
         small = small.select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("x").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a != b").distinct()
-        links = shared.written(small, "links")
+        older, links = links, shared.written(small, "links")
+        shared.drop(older)
         mark = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if mark == last:
             break
