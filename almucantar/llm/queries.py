@@ -102,6 +102,35 @@ FROM f
 """
 
 
+_OP6 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), e AS (SELECT a, b FROM l UNION SELECT b, a FROM l
+), r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY 1) USING (doc_id)
+"""
+
+_OP10 = """
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
+), s AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, 2 * i + 1, 100)) AS least FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM b)
+), c AS (SELECT doc_id, h, unnest(range(0, n)) AS j FROM b
+), m AS (
+  SELECT c.doc_id, j, substr(h, CAST(2 * j + 1 AS BIGINT), 2) AS x, coalesce(j - max(i) OVER (PARTITION BY c.doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) < 50, false) AS gone
+  FROM c LEFT JOIN (SELECT doc_id, i FROM s WHERE doc_id > least) t ON t.doc_id = c.doc_id AND i = j
+), k AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY j) AS was FROM m
+), a AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE gone AND NOT was) AS n_spans, string_agg(x, '' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY 1
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM b LEFT JOIN a USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL by query name."""
-    return {"op1_warc": _OP1}
+    return {"op1_warc": _OP1, "op6_minhash": _OP6, "op10_substrings": _OP10}

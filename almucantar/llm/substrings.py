@@ -1,11 +1,15 @@
 """Exact removal of repeated byte strings across documents, by suffix arrays over content-dealt pieces.
 
 Every string of ``length`` bytes belongs to one anchor, the least ``GRAM``-byte hash in it, so equal strings
-have equal anchors wherever they stand. Stretches of strings with one anchor are dealt to buckets by it,
-aggregated first within a unit (a row group of the working copy). Where all stretches of an anchor are
-equal, their smallest doc_id decides. Where they differ, each different stretch is fetched once and a
-suffix array over them (linear grouping construction, see ``suffixes``) finds the strings they share and
-each one's smallest doc_id. The decisions return to the units, which mark and remove bytes.
+have equal anchors wherever they stand. Grams that a sample of the texts shows to be very common are anchors
+only of strings that have no other gram, so the surroundings of a common line are dealt by what is their own
+and no anchor gathers them all. Stretches of strings with one anchor are dealt to buckets by it, aggregated
+first within a unit (a row group of the working copy). Equal stretches are merged first: they are known by
+128 bits, a hash of the anchor and an independent one of all their bytes. Where stretches of one anchor
+differ, each different one is fetched once and a suffix array over them (linear grouping construction, see
+``suffixes``) finds the strings they share, byte by byte, and each one's smallest doc_id. Groups that are too
+large for one array get several, whose different strings are then merged by their bytes. The decisions
+return to the units, which mark and remove bytes.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almucantar.llm import shared
@@ -32,6 +36,10 @@ BUCKET_BYTES = 8 << 20
 ARRAY_BYTES = 256 << 10
 #: Bytes that are hashed at once.
 SLICE = 1 << 20
+#: Very common grams are looked for in this many units, and are those seen this often there; at most so many are kept.
+SAMPLE_UNITS, COMMON, MOST_COMMON = 16, 32, 1 << 20
+#: Stretches that a task gathers before it deals them out.
+GATHERED = 400_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA5A5B3C1F0E1D2C3, 0x9FB21C651E98DF25, 0xBF58476D1CE4E5B9)]
 _U8 = "<u8"
 
@@ -45,7 +53,36 @@ def _windows_hash(words: np.ndarray, at: np.ndarray | slice, n: int) -> np.ndarr
     return out
 
 
-def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+class Common:
+    """Hashes of very common grams."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+        self.flags = np.zeros(1 << 16, bool)
+        self.flags[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def has(self, h: np.ndarray) -> np.ndarray:
+        """Which hashes are among them."""
+        out = np.zeros(len(h), bool)
+        if len(self.hashes):
+            at = np.flatnonzero(self.flags[(h >> np.uint64(48)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
+            out[at[self.hashes[k] == h[at]]] = True
+        return out
+
+
+NONE = Common(np.zeros(0, np.uint64))
+
+
+def grams(data: np.ndarray) -> np.ndarray:
+    """The hash of the gram from each byte on."""
+    data = np.ascontiguousarray(data)
+    if len(data) < GRAM:
+        return np.zeros(0, np.uint64)
+    return _windows_hash(np.ndarray((len(data) - 7,), _U8, data, strides=(1,)), slice(0, len(data) - GRAM + 1), GRAM)
+
+
+def stretches(data: np.ndarray, at: np.ndarray, length: int, common: Common = NONE) -> tuple[np.ndarray, ...]:
     """Anchor hash, stretch id, first and last string start, and the anchor's place, for each stretch of ``data``.
 
     ``at`` has the bounds of the documents in ``data``; strings do not cross them. Work goes by slices of
@@ -56,29 +93,31 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray
         a = int(at[k])
         j = int(np.searchsorted(at, a + SLICE, "right")) - 1
         if j > k:  # whole documents
-            parts.append((a, _stretches(data[a : at[j]], at[k : j + 1] - a, length)))
+            parts.append((a, _stretches(data[a : at[j]], at[k : j + 1] - a, length, common)))
             k = j
             continue
         end = int(at[k + 1])
         for lo in range(a, end, SLICE):
             hi = min(end, lo + SLICE + length - 1)
-            parts.append((lo, _stretches(data[lo:hi], np.array([0, hi - lo]), length)))
+            parts.append((lo, _stretches(data[lo:hi], np.array([0, hi - lo]), length, common)))
         k += 1
     if not parts:
-        return _stretches(data[:0], at[:1], length)
+        return _stretches(data[:0], at[:1], length, common)
     h, sid, first, last, anchor = (np.concatenate([p[i] + (lo if i > 1 else p[i].dtype.type(0)) for lo, p in parts]) for i in range(5))
     return h, sid, first, last, anchor
 
 
-def _stretches(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+def _stretches(data: np.ndarray, at: np.ndarray, length: int, common: Common) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     data = np.ascontiguousarray(data)
     words = np.ndarray((n - 7,), _U8, data, strides=(1,))
-    grams = n - GRAM + 1
-    h = _windows_hash(words, slice(0, grams), GRAM)
-    low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(grams, dtype=np.uint64)
+    n_grams = n - GRAM + 1
+    h = _windows_hash(words, slice(0, n_grams), GRAM)
+    low = ((h >> np.uint64(1)) & np.uint64(0x7FFFFFFF00000000)) | np.arange(n_grams, dtype=np.uint64)
+    if len(common.hashes):
+        low |= common.has(h).astype(np.uint64) << np.uint64(63)  # above all others
     width, span = length - GRAM + 1, 1
     while span * 2 <= width:
         low = np.minimum(low[: len(low) - span], low[span:])
@@ -124,6 +163,21 @@ def _joined(blobs: list[dict[str, np.ndarray]], names: list[str], kinds: list[st
     return [np.concatenate([b[k] for b in blobs]) if blobs else np.zeros(0, t) for k, t in zip(names, kinds, strict=True)]
 
 
+def _places(known_sid: np.ndarray, known_h: np.ndarray, sid: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch is among the known ones, and whether it is there; both hashes must be equal."""
+    if not len(known_sid):
+        return np.zeros(len(sid), np.int64), np.zeros(len(sid), bool)
+    order = np.lexsort((known_h, known_sid))
+    s, t = known_sid[order], known_h[order]
+    k = np.minimum(np.searchsorted(s, sid), len(s) - 1)
+    while True:
+        following = np.minimum(k + 1, len(s) - 1)
+        on = (s[k] == sid) & (t[k] != h) & (following > k) & (s[following] == sid)
+        if not on.any():
+            return order[k], (s[k] == sid) & (t[k] == h)
+        k = np.where(on, following, k)
+
+
 def _unit(file: pq.ParquetFile, group: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """Bytes, documents' bounds and ids (null: the largest), and ids as they are, of a row group."""
     part = file.read_row_group(group, ["doc_id", "text"]).combine_chunks()
@@ -144,10 +198,44 @@ def _rows(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], _BLOBS)
 
 
-def _anchors(length: int, buckets: int):
+def _common(batches):
+    """Grams that a unit of each file has several times, and how often."""
+    for batch in batches:
+        for item in batch.column(0).to_pylist():
+            number, uri = item.split("|", 1)
+            with _open(uri) as source:
+                file = pq.ParquetFile(source)
+                if not file.num_row_groups:
+                    continue
+                data = _unit(file, int(number) % file.num_row_groups)[0]
+                order = np.sort(np.concatenate([grams(data[a : a + SLICE + GRAM - 1]) for a in range(0, max(1, len(data)), SLICE)]))
+                new = np.flatnonzero(np.r_[True, order[1:] != order[:-1]]) if len(order) else np.zeros(0, np.int64)
+                n = np.diff(np.r_[new, len(order)])
+                some = n >= max(2, COMMON // SAMPLE_UNITS)
+                yield pa.RecordBatch.from_arrays([pa.array(order[new][some].view(np.int64)), pa.array(n[some].astype(np.int64))], ["gram", "n"])
+
+
+def common_grams(spark: SparkSession, uris: list[str]) -> Common:
+    """The very common grams of a sample of units: which they are changes how work is dealt, never a result."""
+    step = -(-len(uris) // SAMPLE_UNITS)
+    found = shared.spread(spark, [f"{i}|{u}" for i, u in list(enumerate(uris))[::step]]).mapInArrow(_common, "gram long, n long")
+    most = found.groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON).orderBy(F.desc("n"), "gram").limit(MOST_COMMON)
+    return Common(most.select("gram").toArrow()["gram"].to_numpy().view(np.uint64))
+
+
+def _anchors(length: int, buckets: int, sent):
     """Units to blobs of their stretches by bucket, equal ones within a unit together."""
 
+    def dealt(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, sid, doc, many, unit = (np.concatenate(x) for x in zip(*parts, strict=True))
+        bucket = (h % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        new = np.flatnonzero(np.r_[True, np.diff(bucket[order]) > 0])
+        return _rows([(int(bucket[i[0]]), _pack(h=h[i], sid=sid[i], doc=doc[i], many=many[i], unit=unit[i])) for i in np.split(order, new[1:])])
+
     def run(batches):
+        shared.begin("substrings")
+        parts, held = [], 0
         for batch in batches:
             for item in batch.column(0).to_pylist():
                 number, uri = item.split("|", 1)
@@ -155,23 +243,21 @@ def _anchors(length: int, buckets: int):
                     file = pq.ParquetFile(source)
                     for group in range(file.num_row_groups):
                         data, at, ids, _ = _unit(file, group)
-                        h, sid, first, *_ = stretches(data, at, length)
+                        h, sid, first, *_ = stretches(data, at, length, sent.value)
+                        if not len(h):
+                            continue
                         doc = ids[np.searchsorted(at, first, "right") - 1]
-                        order = np.lexsort((doc, sid))
+                        order = np.lexsort((doc, h, sid))
                         h, sid, doc = h[order], sid[order], doc[order]
-                        new = np.flatnonzero(np.r_[True, sid[1:] != sid[:-1]]) if len(sid) else np.zeros(0, np.int64)
-                        h, sid, least = h[new], sid[new], doc[new]
-                        many = (np.maximum.reduceat(doc, new) > least) if len(new) else np.zeros(0, bool)
-                        bucket = (h % np.uint64(buckets)).astype(np.int64)
-                        order = np.argsort(bucket, kind="stable")
-                        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                        unit = int(number) * 2**20 + group
-                        rows = []
-                        for b in range(buckets):
-                            i = order[cuts[b] : cuts[b + 1]]
-                            if len(i):
-                                rows.append((b, _pack(h=h[i], sid=sid[i], doc=least[i], many=many[i], unit=np.full(len(i), unit, np.int64))))
-                        yield _rows(rows)
+                        new = np.flatnonzero(np.r_[True, (sid[1:] != sid[:-1]) | (h[1:] != h[:-1])])
+                        many = np.maximum.reduceat(doc, new) > doc[new]
+                        parts.append((h[new], sid[new], doc[new], many, np.full(len(new), int(number) * 2**20 + group, np.int64)))
+                        held += len(new)
+                        if held >= GATHERED:
+                            yield dealt(parts)
+                            parts, held = [], 0
+        if parts:
+            yield dealt(parts)
 
     return run
 
@@ -206,9 +292,9 @@ def _decide(batches):
         out = []
         told = plain & (many | (doc > row_least))
         for u, i in _by(unit, told):
-            out.append((0, u, _pack(sid=sid[i], least=row_least[i])))
+            out.append((0, u, _pack(h=h[i], sid=sid[i], least=row_least[i])))
         if mixed.any():
-            out.append((1, key, _pack(sid=sid[mixed], unit=unit[mixed], doc=doc[mixed], many=many[mixed])))
+            out.append((1, key, _pack(h=h[mixed], sid=sid[mixed], unit=unit[mixed], doc=doc[mixed], many=many[mixed])))
             for u, i in _by(unit, mixed & fresh):
                 out.append((2, u, _pack(sid=sid[i], doc=doc[i], h=h[i])))
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], ["kind", "key", "blob"])
@@ -232,7 +318,7 @@ def _gathered(batches) -> dict[int, list[dict[str, np.ndarray]]]:
     return out
 
 
-def _fetch(uris: list[str], length: int, buckets: int):
+def _fetch(uris: list[str], length: int, buckets: int, sent):
     """Requests to the texts of stretches, by bucket."""
 
     def run(batches):
@@ -242,12 +328,10 @@ def _fetch(uris: list[str], length: int, buckets: int):
                 file = pq.ParquetFile(source)
                 for unit in sorted(u for u in wanted if u >> 20 == number):
                     asked, doc, of = _joined(wanted.pop(unit), ["sid", "doc", "h"], [_U8, "<i8", _U8])
-                    order = np.argsort(asked)
-                    asked, doc, of = asked[order], doc[order], of[order]
                     data, at, _, _ = _unit(file, unit & (2**20 - 1))
-                    _, sid, first, last, anchor = stretches(data, at, length)
-                    k = np.minimum(np.searchsorted(asked, sid), len(asked) - 1)
-                    hit = np.flatnonzero(asked[k] == sid)
+                    h, sid, first, last, anchor = stretches(data, at, length, sent.value)
+                    k, there = _places(asked, of, sid, h)
+                    hit = np.flatnonzero(there)
                     k, one = np.unique(k[hit], return_index=True)
                     hit = hit[one]
                     size = last[hit] - first[hit] + length
@@ -273,15 +357,16 @@ def _compare(length: int):
             least = shared_strings(h, doc, size, left, at, text, length)  # for each string of each stretch
             strings = size - length + 1
             where = np.cumsum(strings) - strings
-            order = np.argsort(sid)
-            m_sid, m_unit, m_doc, m_many = _joined(members, ["sid", "unit", "doc", "many"], [_U8, "<i8", "<i8", "?"])
-            k = order[np.searchsorted(sid, m_sid, sorter=order)]
+            m_sid, m_h, m_unit, m_doc, m_many = _joined(members, ["sid", "h", "unit", "doc", "many"], [_U8, _U8, "<i8", "<i8", "?"])
+            k, there = _places(sid, h, m_sid, m_h)
+            if not there.all():
+                raise ValueError("a stretch that was asked for has not come")
             told = m_many | (m_doc > np.minimum.reduceat(least, where)[k])
             rows = []
             for u, i in _by(m_unit, told):
                 n = strings[k[i]]
                 own = np.repeat(where[k[i]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                rows.append((u, _pack(sid=m_sid[i], strings=n.astype(np.int32), least=least[own])))
+                rows.append((u, _pack(h=m_h[i], sid=m_sid[i], strings=n.astype(np.int32), least=least[own])))
             yield _rows(rows)
 
     return run
@@ -323,7 +408,7 @@ def shared_strings(h: np.ndarray, doc: np.ndarray, size: np.ndarray, left: np.nd
                 own = group[has[group]]
                 own = own[np.argsort(key[own], kind="stable")]
                 for part in np.split(own, np.flatnonzero(np.diff(key[own])) + 1) if len(own) else []:
-                    _by_array([part], size, at, text, where, least, length)
+                    _by_arrays(part, size, at, text, where, least, length)
             continue
         if held + n > ARRAY_BYTES and chunk:
             _by_array(chunk, size, at, text, where, least, length)
@@ -344,8 +429,43 @@ def _outward(text: np.ndarray, start: np.ndarray, there: np.ndarray, step: int,
     return out
 
 
-def _by_array(groups: list[np.ndarray], size: np.ndarray, at: np.ndarray, text: np.ndarray, where: np.ndarray, least: np.ndarray, length: int) -> None:
-    """Lowers ``least`` to the smallest among equal strings, found as runs in the suffix array of the stretches."""
+def _by_arrays(group: np.ndarray, size: np.ndarray, at: np.ndarray, text: np.ndarray, where: np.ndarray, least: np.ndarray, length: int) -> None:
+    """As ``_by_array`` for one group of any size: in arrays of ``ARRAY_BYTES``, whose different strings are merged by their bytes."""
+    ends = np.cumsum(size[group].astype(np.int64))
+    if ends[-1] <= 4 * ARRAY_BYTES:
+        _by_array([group], size, at, text, where, least, length)
+        return
+    cuts = np.flatnonzero(np.diff(ends // ARRAY_BYTES)) + 1
+    runs = [_by_array([part], size, at, text, where, least, length) for part in np.split(group, cuts)]
+    ones = np.concatenate([place[np.flatnonzero(np.r_[True, np.diff(run) > 0])] for place, run in runs])  # one string of each run
+    inside = np.sort(group)  # `where` rises with the stretches
+    of = inside[np.searchsorted(where[inside], ones, "right") - 1]
+    begin = at[of] + ones - where[of]
+    words = np.ndarray((len(text) - 7,), _U8, np.ascontiguousarray(text), strides=(1,))
+    deal = np.concatenate([_windows_hash(words, begin[i : i + 65536], length) for i in range(0, len(begin), 65536)])
+    classes = -(-len(ones) * length // (16 * ARRAY_BYTES))
+    lowest = least[ones]
+    for c in range(classes):
+        some = np.flatnonzero(deal % np.uint64(classes) == c)
+        if not len(some):
+            continue
+        rows = np.ascontiguousarray(text[begin[some][:, None] + np.arange(length)]).view(f"V{length}").ravel()
+        _, back = np.unique(rows, return_inverse=True)
+        low = np.full(int(back.max()) + 1, NO_ID, np.int64)
+        np.minimum.at(low, back, lowest[some])
+        lowest[some] = low[back]
+    done = 0
+    for place, run in runs:
+        n = int(run[-1]) + 1 if len(run) else 0
+        np.minimum.at(least, place, lowest[done : done + n][run])
+        done += n
+
+
+def _by_array(groups: list[np.ndarray], size: np.ndarray, at: np.ndarray, text: np.ndarray, where: np.ndarray, least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Lowers ``least`` to the smallest among equal strings, found as runs in the suffix array of the stretches.
+
+    Returns the strings' places in order and the number of each one's run.
+    """
     own = np.concatenate(groups)
     n = size[own].astype(np.int64) + 1
     ends = np.cumsum(n)
@@ -370,9 +490,10 @@ def _by_array(groups: list[np.ndarray], size: np.ndarray, at: np.ndarray, text:
     place = string[order]
     smallest = np.minimum.reduceat(least[place], np.flatnonzero(~same))
     np.minimum.at(least, place, smallest[run])
+    return place, run
 
 
-def _apply(uris: list[str], length: int, with_kept: bool):
+def _apply(uris: list[str], length: int, with_kept: bool, sent):
     """Decisions to each document's result."""
 
     def run(batches):
@@ -386,7 +507,7 @@ def _apply(uris: list[str], length: int, with_kept: bool):
                     blobs = told.pop(number * 2**20 + group, [])
                     marks = np.zeros(len(data) + 1, np.int32)
                     if any("sid" in b for b in blobs):
-                        _mark(marks, [b for b in blobs if "sid" in b], data, at, ids, length)
+                        _mark(marks, [b for b in blobs if "sid" in b], data, at, ids, length, sent.value)
                     gone = np.cumsum(marks[:-1]) > 0
                     starts = gone.copy()
                     starts[1:] &= ~gone[:-1]
@@ -404,22 +525,20 @@ def _apply(uris: list[str], length: int, with_kept: bool):
     return run
 
 
-def _mark(marks: np.ndarray, blobs: list[dict[str, np.ndarray]], data: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int) -> None:
+def _mark(marks: np.ndarray, blobs: list[dict[str, np.ndarray]], data: np.ndarray, at: np.ndarray, ids: np.ndarray, length: int, common: Common) -> None:
     """Adds 1 where a removed string begins and takes it away after its end."""
-    _, sid, first, last, _ = stretches(data, at, length)
+    h, sid, first, last, _ = stretches(data, at, length, common)
     doc = ids[np.searchsorted(at, first, "right") - 1]
-    known, least = _joined([b for b in blobs if "strings" not in b], ["sid", "least"], [_U8, "<i8"])
+    known, known_h, least = _joined([b for b in blobs if "strings" not in b], ["sid", "h", "least"], [_U8, _U8, "<i8"])
     if len(known):
-        order = np.argsort(known)
-        k = order[np.minimum(np.searchsorted(known, sid, sorter=order), len(known) - 1)]
-        hit = (known[k] == sid) & (doc > least[k])
+        k, hit = _places(known, known_h, sid, h)
+        hit &= doc > least[k]
         np.add.at(marks, first[hit], 1)
         np.add.at(marks, last[hit] + length, -1)
-    known, strings, least = _joined([b for b in blobs if "strings" in b], ["sid", "strings", "least"], [_U8, "<i4", "<i8"])
+    known, known_h, strings, least = _joined([b for b in blobs if "strings" in b], ["sid", "h", "strings", "least"], [_U8, _U8, "<i4", "<i8"])
     if len(known):
-        order = np.argsort(known)
-        k = order[np.minimum(np.searchsorted(known, sid, sorter=order), len(known) - 1)]
-        hit = np.flatnonzero(known[k] == sid)
+        k, hit = _places(known, known_h, sid, h)
+        hit = np.flatnonzero(hit)
         k = k[hit]
         where = np.cumsum(strings) - strings
         n = strings[k].astype(np.int64)
@@ -435,8 +554,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_kept: bool = False) -
 
     A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller
     doc_id, judged on the input. Null texts are empty; rows without a doc_id count as after all others;
-    rows that share a doc_id are not earlier than one another. An empty table gives an empty one; further
-    columns are not read.
+    rows that share a doc_id are not earlier than one another. Texts of any length are judged as a whole. An
+    empty table gives an empty one; further columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     if length < GRAM + 8:
@@ -452,17 +571,18 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_kept: bool = False) -
         empty = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
         return spark.createDataFrame([], empty)
     buckets = max(12, math.ceil(size / BUCKET_BYTES))
+    sent = spark.sparkContext.broadcast(common_grams(spark, uris))  # 8 MB at most
     blobs = "key long, blob binary"
-    anchors = shared.spread(spark, [f"{i}|{u}" for i, u in enumerate(uris)]).mapInArrow(_anchors(length, buckets), blobs)
+    anchors = shared.spread(spark, [f"{i}|{u}" for i, u in enumerate(uris)]).mapInArrow(_anchors(length, buckets, sent), blobs)
     decided = anchors.repartitionById(buckets, F.col("key").cast("int")).mapInArrow(_decide, "kind int, key long, blob binary")
     decided = shared.written(decided, "decided")
     of_file = F.shiftright("key", 20).cast("int")
     asked = decided.where("kind = 2").select("key", "blob").repartitionById(len(uris), of_file)
-    texts = asked.mapInArrow(_fetch(uris, length, buckets), blobs)
+    texts = asked.mapInArrow(_fetch(uris, length, buckets, sent), blobs)
     bucketed = texts.unionByName(decided.where("kind = 1").select("key", "blob")).repartitionById(buckets, F.col("key").cast("int"))
     compared = shared.written(bucketed.mapInArrow(_compare(length), blobs), "compared")
     stubs = spark.createDataFrame([(i << 20, None) for i in range(len(uris))], blobs)
     told = decided.where("kind = 0").select("key", "blob").unionByName(compared).unionByName(stubs).repartitionById(len(uris), of_file)
     # A document without any decision comes back whole, since every file has a stub.
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
-    return told.mapInArrow(_apply(uris, length, with_kept), schema)
+    return told.mapInArrow(_apply(uris, length, with_kept, sent), schema)
