@@ -19,6 +19,8 @@ from almucantar.llm import shared
 
 #: Features are hashed to this many places.
 BITS = 15
+#: Text bytes that are read at once.
+BATCH = 1 << 20
 _LETTER = np.zeros(0, bool)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -132,19 +134,20 @@ def held_out(doc_id: str = "doc_id", of: int = 4, remainder: int = 2):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of == remainder, F.lit(True))
 
 
-def train(docs: DataFrame, per_language: int = 600) -> Model:
+def train(docs: DataFrame, per_language: int = 600, most_languages: int = 500) -> Model:
     """Learns from the rows with text and lang of ``docs`` (doc_id, text, lang).
 
-    The sample has about ``per_language`` documents of each language at most, chosen by a hash of the id;
-    document frequencies cover all rows. The driver gets one count a language, the frequencies (a fixed
+    The sample has about ``per_language`` documents of each of the ``most_languages`` most frequent languages at
+    most, chosen by a hash of id and text, equal ones once; document frequencies cover all rows. The driver gets one count a language, the frequencies (a fixed
     number) and the sample's features.
     """
     shared.small_arrow_batches(docs.sparkSession)
     rows = docs.where("text is not null and lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
 
     def frequencies(batches):
+        shared.begin("langid")
         total, n = np.zeros(1 << BITS, np.int64), 0
-        for batch in batches:
+        for batch in shared.text_batches(batches, BATCH):
             for text in batch.column(0).to_pylist():
                 own = counts(text)
                 if own is not None:
@@ -156,19 +159,19 @@ def train(docs: DataFrame, per_language: int = 600) -> Model:
     by_place = {r["place"]: r["n"] for r in rows.select("text").mapInArrow(frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()}
     n_docs, found = by_place.pop(-1, 0), np.zeros(1 << BITS, np.int64)
     found[list(by_place)] = list(by_place.values())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()}
     if not sizes:
         return Model([], np.zeros((1 << BITS, 0)), np.zeros(0), np.zeros(1 << BITS))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_language / n))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)
 
     def features(batches):
-        for batch in batches:
+        for batch in shared.text_batches(batches, BATCH):
             out = [(d, lang, np.flatnonzero(n), n[n > 0]) for d, lang, n in ((d, lang, counts(t)) for d, t, lang in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)) if n is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2].astype(np.int32) for x in out], pa.list_(pa.int32())), pa.array([x[3].astype(np.int32) for x in out], pa.list_(pa.int32()))], ["doc_id", "lang", "place", "n"])
 
-    sample = rows.where(chance < share[F.col("lang")]).mapInArrow(features, "doc_id long, lang string, place array<int>, n array<int>").toArrow()
-    sample = sample.take(np.lexsort((sample["doc_id"].fill_null(-1).to_numpy(),)))
+    sample = rows.where(chance < share[F.col("lang")]).distinct().mapInArrow(features, "doc_id long, lang string, place array<int>, n array<int>").toArrow()
+    sample = sample.take(np.array(sorted(range(sample.num_rows), key=lambda i: (sample["doc_id"][i].as_py() or -1, sample["lang"][i].as_py(), len(sample["place"][i]))), np.int64))
     places, ns = sample["place"].combine_chunks(), sample["n"].combine_chunks()
     data = [(lang, places[i].values.to_numpy(), ns[i].values.to_numpy()) for i, lang in enumerate(sample["lang"].to_pylist())]
     rng = np.random.default_rng(3)
@@ -179,14 +182,16 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for the whole text of each row of ``docs``.
 
     ``und`` with score 0 where the text is null or has no letter, or nothing was learned. Equal texts
-    score equally; an empty table gives an empty one; further columns are not read.
+    score equally, texts of any length as a whole; an empty table gives an empty one; further columns, whatever
+    their names, are not read.
     """
     shared.small_arrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # as many weights as features and languages
 
     def run(batches):
+        shared.begin("langid")
         model = sent.value
-        for batch in batches:
+        for batch in shared.text_batches(batches, BATCH):
             out = [model.predict(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "lang_pred", "score"])
 

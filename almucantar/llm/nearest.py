@@ -158,7 +158,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
 
     A query probes as many of the nearest lists as hold this share of the true nearest of about 200 vectors, which
     are held out from the fit of the lists and compared with the whole table, and more until they hold ten times ``k`` vectors. Lists hold about ``per_list`` vectors, up to 16,384 lists, and are
-    searched in chunks, so a list with a third of all vectors is many tasks. Ties go to the smaller vec_id. The index is fitted on a sample of
+    searched in chunks of vectors and of queries, so a list with a third of all vectors is many tasks. Ties go to the smaller vec_id. The index is fitted on a sample of
     about ``sample`` vectors, at least 16 for each list; every vector is indexed. Rows equal in all are one; an empty table gives an
     empty one; further columns are not read.
     """
@@ -195,12 +195,10 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
     for r in placed.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
         held[r["list"]] = r["n"]
     parts = np.maximum(1, -(-held // chunk))
-    of_list = F.lit(parts.tolist())[F.col("list")]
-    data = placed.select("list", F.pmod(F.xxhash64("vec_id"), of_list).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "v")
-    bounds = spark.sparkContext.broadcast((held, parts))
+    counts = spark.sparkContext.broadcast(held)
 
     def probe(batches):
-        index, (held, parts) = sent.value, bounds.value
+        index, held = sent.value, counts.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 some = batch.slice(lo, 256)
@@ -208,27 +206,33 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, recall: float = 0.9
                 order = np.argsort(index.distances(index.asked(q)), axis=1, kind="stable")
                 total = np.cumsum(held[order], axis=1)
                 n = np.maximum(n_probes, (total < 10 * k).sum(1) + 1)
-                take, at = [], []
-                for i in range(len(q)):
-                    for c in order[i, : n[i]]:
-                        if held[c]:
-                            take += [i] * int(parts[c])
-                            at += [(int(c), p) for p in range(int(parts[c]))]
-                picked = some.take(pa.array(take, pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array([a[0] for a in at], pa.int32()), pa.array([a[1] for a in at], pa.int32()), picked.column(0), picked.column(1)], ["list", "part", "vec_id", "v"])
-
-    queries = own.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(probe, "list int, part int, vec_id long, v array<double>")
-    both = data.unionByName(queries.select("list", "part", F.lit(1).alias("kind"), "vec_id", "v"))
-    dealt = both.repartition("list", "part").sortWithinPartitions("list", "part", "kind", "vec_id")
+                chosen = (np.arange(order.shape[1]) < n[:, None]) & (held[order] > 0)
+                take, at = np.nonzero(chosen)
+                picked = some.take(pa.array(take))
+                yield pa.RecordBatch.from_arrays([pa.array(order[take, at].astype(np.int32)), picked.column(0), picked.column(1)], ["list", "vec_id", "v"])
+
+    queries = own.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v").mapInArrow(probe, "list int, vec_id long, v array<double>")
+    queries = shared.written(queries, "probes")
+    asked = np.zeros(lists, np.int64)
+    for r in queries.groupBy("list").agg(F.count("*").alias("n")).collect():  # a row for each list
+        asked[r["list"]] = r["n"]
+    shares = np.maximum(1, -(-asked // chunk))
+    of_list = lambda n: F.lit(n.tolist())[F.col("list")]
+    dealt_to = lambda n: F.pmod(F.xxhash64("vec_id"), of_list(n)).cast("int")
+    every_one = lambda n: F.explode(F.sequence(F.lit(0), (of_list(n) - 1).cast("int")))
+    # A list's vectors in parts and its queries in shares: each share meets each part in a cell.
+    data = placed.where(of_list(asked) > 0).select("list", dealt_to(parts).alias("part"), every_one(shares).alias("share"), F.lit(0).alias("kind"), "vec_id", "v")
+    both = data.unionByName(queries.select("list", every_one(parts).alias("part"), dealt_to(shares).alias("share"), F.lit(1).alias("kind"), "vec_id", "v"))
+    dealt = both.repartition("list", "part", "share").sortWithinPartitions("list", "part", "share", "kind", "vec_id")
 
     def nearest(batches):
         index, cell = sent.value, None
         ids, raw, x = [], [], None
         best_of: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # merged over the task's cells, flushed when large
         for batch in batches:
-            v = np.asarray(batch.column(4).flatten(), np.float64).reshape(-1, index.dim)
-            keys = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            kind, vec = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            v = np.asarray(batch.column(5).flatten(), np.float64).reshape(-1, index.dim)
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            kind, vec = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             asked = index.asked(v) if any(kind) else None
             for i, key in enumerate(keys):
                 if key != cell:

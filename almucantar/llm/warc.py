@@ -26,8 +26,8 @@ from almucantar.llm import shared
 
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the namespace for URLs
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: The sample that the shards' bounds are taken from has about this many ids, whatever the table's size.
-SAMPLE = 50_000
+#: The sample that the shards' bounds are taken from has about this many keys, whatever the table's size, and there are at most so many shards.
+SAMPLE, SHARDS = 200_000, 20_000
 
 
 def record_id(page_id: int | None, digest: str) -> str:
@@ -96,9 +96,9 @@ def members(source, chunk: int = 1 << 20):
         raise ValueError("a file is cut short")
 
 
-def plan(pages: DataFrame, min_dedup_bytes: int) -> DataFrame:
+def plan(keys: DataFrame, min_dedup_bytes: int) -> DataFrame:
     """The pages that revisit another: page_id, digest, refers_to. No payload is shuffled for it."""
-    keys = pages.select("page_id", "_digest").where(F.col("_bytes") >= min_dedup_bytes)
+    keys = keys.where(F.col("_bytes") >= min_dedup_bytes).select("page_id", "_digest")
     firsts = keys.groupBy("_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
     return keys.join(firsts, "_digest").where("page_id is null or page_id > _first").select("page_id", "_digest", "_first").distinct()
 
@@ -107,24 +107,32 @@ def write(pages: DataFrame, folder: str, min_dedup_bytes: int = 100, shard_bytes
     """Writes one record for each row of ``pages`` (page_id, url, html) below ``folder``; returns the manifest.
 
     Null html is an empty payload, null urls leave out the target URI, null ids sort first and are never
-    what others refer to. Rows that repeat the smallest page_id of a payload are all responses. An empty
-    table gives a manifest without files; further columns are not read. ``shard_bytes`` (html bytes) sets
-    how many shards there are, at most as many as ``SAMPLE`` / 10; ``file_bytes`` rolls files within a shard.
+    what others refer to. Rows that repeat the smallest page_id of a payload are all responses. Pages of any
+    length are one record. An empty table gives a manifest without files; further columns, whatever their names,
+    are not read. ``shard_bytes`` (html bytes) sets how many shards there are, ``SHARDS`` at most, each a range of
+    page_id and digest, so rows that repeat a page_id may be several shards; ``file_bytes`` rolls files within a shard.
     """
     spark = pages.sparkSession
     shared.small_arrow_batches(spark)
     shared.make_dir(folder)
     payload = F.coalesce(F.encode(F.col("html").cast("string"), "UTF-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("_payload"))
-    rows = rows.withColumns({"_digest": F.sha2("_payload", 256), "_bytes": F.octet_length("_payload")})
-    size = rows.agg(F.sum("_bytes").alias("b"), F.count("*").alias("n")).first()
-    shards = max(1, min(SAMPLE // 10, -(-(size["b"] or 0) // shard_bytes)))
+    rows = rows.withColumn("_digest", F.sha2("_payload", 256))
+    keys = shared.written(rows.select("page_id", "_digest", F.octet_length("_payload").alias("_bytes")), "digests")  # so payloads are read twice, not more
+    size = keys.agg(F.sum("_bytes").alias("b"), F.count("*").alias("n")).first()
+    shards = max(1, min(SHARDS, -(-(size["b"] or 0) // shard_bytes)))
     shards = max(shards, min(64, (size["b"] or 0) >> 22))  # tables of some MB still use all cores
     step = max(1, size["n"] // SAMPLE)
-    sample = sorted(r[0] for r in rows.where(f"page_id is not null and pmod(xxhash64(page_id), {step}) = 0").select("page_id").collect())  # about SAMPLE ids
-    bounds = sorted({sample[len(sample) * i // shards] for i in range(1, shards)}) if sample else []
-    revisits = plan(rows, min_dedup_bytes)
-    shard = F.coalesce(F.expr(_search("page_id", bounds)), F.lit(0)).cast("int")
+    some = keys.where(f"page_id is not null and pmod(xxhash64(page_id, _digest), {step}) = 0").groupBy("page_id", "_digest").agg(F.count("*").alias("n"))
+    sample = sorted((r["page_id"], r["_digest"], r["n"]) for r in some.collect())  # about SAMPLE keys
+    total = sum(r[2] for r in sample)
+    seen, bounds = 0, []
+    for page, digest, n in sample:
+        if shards * seen // max(1, total) > len(bounds) and (not bounds or bounds[-1] < (page, digest)):
+            bounds.append((page, digest))
+        seen += n
+    revisits = plan(keys, min_dedup_bytes)
+    shard = F.coalesce(F.expr(_search(bounds)), F.lit(0)).cast("int")
     both = rows.select("page_id", "url", "_payload", "_digest", F.lit(None).cast("long").alias("_first"), F.lit(1).alias("_kind"))
     both = both.unionByName(revisits.select("page_id", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("_payload"), "_digest", "_first", F.lit(0).alias("_kind")))
     # A page's revisit row comes just before the page itself, so payloads are shuffled once.
@@ -166,15 +174,19 @@ def write(pages: DataFrame, folder: str, min_dedup_bytes: int = 100, shard_bytes
     with fs.open_output_stream(f"{base}/.manifest.tmp") as out:
         out.write(json.dumps({"files": files}).encode())
     shared.publish(fs, f"{base}/.manifest.tmp", f"{base}/manifest.json")
+    shared.sweep(fs, base)
     return files
 
 
-def _search(column: str, bounds: list[int]) -> str:
-    """SQL for how many bounds are at most ``column``, as a balanced tree of comparisons."""
+def _search(bounds: list[tuple[int, str]]) -> str:
+    """SQL for how many bounds are at most (page_id, _digest), by halving; null ids have null."""
     if not bounds:
         return "0"
-    values = "array(" + ", ".join(f"{b}L" for b in bounds) + ")"
-    return f"aggregate(sequence(1, {len(bounds).bit_length()}), struct(0 as lo, {len(bounds)} as hi), (s, _) -> if(s.lo >= s.hi, s, if({values}[(s.lo + s.hi) div 2] <= {column}, struct(cast((s.lo + s.hi) div 2 + 1 as int) as lo, s.hi as hi), struct(s.lo as lo, cast((s.lo + s.hi) div 2 as int) as hi)))).lo"
+    pages, digests = "array(" + ", ".join(f"{p}L" for p, _ in bounds) + ")", "array(" + ", ".join(f"'{d}'" for _, d in bounds) + ")"
+    at = "cast((s.lo + s.hi) div 2 as int)"
+    under = f"({pages}[{at}] < page_id or {pages}[{at}] = page_id and {digests}[{at}] <= _digest)"
+    halve = f"if(s.lo >= s.hi, s, if({under}, struct(cast({at} + 1 as int) as lo, s.hi as hi), struct(s.lo as lo, {at} as hi)))"
+    return f"if(page_id is null, null, aggregate(sequence(1, {len(bounds).bit_length()}), struct(0 as lo, {len(bounds)} as hi), (s, _) -> {halve}).lo)"
 
 
 def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFrame:
@@ -193,7 +205,7 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
         fs, base = shared.filesystem(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
-                rows = []
+                rows, held = [], 0
                 with fs.open_input_stream(f"{base}/{name}", compression=None) as source:
                     for data in members(source):
                         head, block = parse(data)
@@ -210,9 +222,10 @@ def read(spark: SparkSession, folder: str, with_payload: bool = False) -> DataFr
                         url = head.get("warc-target-uri")
                         page, refers = head.get("x-page-id"), head.get("x-refers-to-page-id")
                         rows.append((page and int(page), n, digest, head["warc-type"], refers and int(refers), url, payload)[: len(schema)])
-                        if len(rows) >= 2000 or with_payload and len(rows) >= 100:
+                        held += len(payload or b"") * with_payload
+                        if len(rows) >= 2000 or held >= 4 << 20:
                             yield shared.record_batch(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
-                            rows = []
+                            rows, held = [], 0
                 if rows:
                     yield shared.record_batch(dict(zip(schema.names, zip(*rows, strict=True), strict=True)), schema)
 
