@@ -135,7 +135,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, with_ids: b
 
     def run(batches):
         encode = tokens.encoder(tokenizer, keeps_space=True)
-        for batch in batches:
+        for batch in shared.text_batches(batches, tokens.BATCH):
             ids, bounds = encode.encode(batch.column(1))
             rows, parts = [], []
             for doc, a, b in zip(batch.column(0).to_pylist(), bounds[:-1], bounds[1:], strict=True):
@@ -159,8 +159,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024,
     """Packs all documents into sequences of at most ``capacity`` tokens.
 
     A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids). Null
-    texts count as empty and still have their end id. Rows that repeat a doc_id are packed one by one.
-    An empty table gives an empty one. The places that the pieces of one length take go by the rows'
+    texts count as empty and still have their end id; null ids stay null. Rows that repeat a doc_id are packed
+    one by one. A text of any length is cut into pieces of the capacity. An empty table gives an empty one;
+    further columns, whatever their names, are not read. The places that the pieces of one length take go by the rows'
     order in the table that is written first, so a retried task gives them the same places.
     """
     spark = docs.sparkSession

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import re
 import shutil
 import sys
@@ -174,15 +175,18 @@ def held_by(owner: str, forget: Callable[[], None]) -> None:
 
 
 def begin(owner: str) -> None:
-    """At the start of a task: a Python worker that served another operator drops what it kept for that and returns the memory."""
-    if not _LAST:
-        _libc("mallopt", -3, 1 << 20)  # M_MMAP_THRESHOLD: large arrays return their memory when they go
-        _libc("mallopt", -1, 1 << 20)  # M_TRIM_THRESHOLD
+    """At the start of a task: a Python worker that served another operator drops what it kept for that; free memory goes back."""
     if _LAST[-1:] != [owner]:
         for other, forget in _HELD.items():
             if other != owner:
                 forget()
         _LAST[:] = [owner]
+    trim()
+
+
+def trim() -> None:
+    """Returns memory that is free to the system."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     _libc("malloc_trim", 0)
 

@@ -171,7 +171,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_tokens
     Null texts count as empty and still have ``end_id``; rows that repeat a doc_id follow one another by
     text; null ids come first. Each task writes under temporary names and renames what it has finished;
     ``manifest.json``, written last, lists the files in order and makes them count. File names tell the
-    order, so a repeated task replaces its own files with the same bytes.
+    order, so a repeated task makes its own files with the same bytes. Texts of any length are whole documents of
+    one file; an empty table gives a manifest without files; further columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     shared.small_arrow_batches(spark)
@@ -192,9 +193,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_tokens
             shared.publish(fs, temporary, f"{base}/{name}")
             made.append((name, len(writer.docs), writer.tokens))
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in shared.text_batches(batches, tokens.BATCH):
             if writer is None:
                 temporary = f"{base}/.{task.partitionId()}-{task.taskAttemptId()}-{len(made)}.tmp"
                 out = fs.open_output_stream(temporary)
@@ -217,6 +216,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, file_tokens
     with fs.open_output_stream(f"{base}/.manifest.tmp") as out:
         out.write(json.dumps({"files": files, "end_id": end_id}).encode())
     shared.publish(fs, f"{base}/.manifest.tmp", f"{base}/manifest.json")
+    shared.sweep(fs, base)
     return files
 
 

@@ -15,8 +15,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that an encoder remembers before it starts afresh.
-MOST_PIECES = 500_000
+from almucantar.llm import shared
+
+#: Pieces, and characters of them, that an encoder remembers before it forgets the rare ones; and the longest that it keeps then.
+MOST_PIECES, MOST_CHARS, LONG_PIECE = 500_000, 16 << 20, 200
+#: Text bytes that are encoded at once.
+BATCH = 4 << 20
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CUT = "\x1f"
 
@@ -36,6 +40,7 @@ class Encoder:
         self.keeps_space = keeps_space
         self._whole = rf"{_SPACE}{{2}}|<\||{_CUT}" if keeps_space else r"<\|"
         self.known: dict[str, int] = {"": 0}
+        self.chars = 0
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.seen = (np.zeros(1 << 14, np.int64) for _ in range(3))
 
@@ -43,6 +48,7 @@ class Encoder:
         """Drops the pieces that only one array of texts had, or all if that leaves too many."""
         n = len(self.known)
         keep = self.seen[:n] > 1
+        keep &= np.fromiter((len(p) <= LONG_PIECE for p in self.known), bool, n)
         keep[0] = True
         if keep.sum() > MOST_PIECES // 2:
             keep[1:] = False
@@ -52,6 +58,7 @@ class Encoder:
         self.known = {p: i for i, p in enumerate(p for p, k in zip(self.known, keep, strict=True) if k)}
         self.flat, self.used = self.flat[take].copy() if len(take) else np.zeros(1 << 16, np.uint32), len(take)
         self.start, self.length, self.seen = starts, lengths, np.ones(len(lengths), np.int64)
+        self.chars = sum(map(len, self.known))
 
     def _add(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 20_000):
@@ -69,6 +76,7 @@ class Encoder:
             self.length[first : first + len(some)] = lengths
             self.start[first : first + len(some)] = self.used + np.cumsum(lengths) - lengths
             self.used += len(new)
+            self.chars += sum(map(len, some))
             self.known.update(zip(some, range(first, first + len(some)), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +93,7 @@ class Encoder:
         at = lists.offsets.to_numpy()
         coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         pieces = coded.dictionary.to_pylist()
-        if len(self.known) > MOST_PIECES:
+        if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
             self._forget()
         self._add([p for p in pieces if p not in self.known])
         own = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
@@ -104,10 +112,12 @@ class Encoder:
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
+shared.held_by("tokens", _ENCODERS.clear)
 
 
 def encoder(path: str, keeps_space: bool) -> Encoder:
-    """The worker's encoder for a tokenizer file."""
+    """The worker's encoder for a tokenizer file, at the start of a task."""
+    shared.begin("tokens")
     if (path, keeps_space) not in _ENCODERS:
         _ENCODERS[path, keeps_space] = Encoder(path, keeps_space)
     return _ENCODERS[path, keeps_space]

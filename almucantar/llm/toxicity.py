@@ -3,8 +3,9 @@
 A word enters the network as an embedding of the word and the mean of embeddings of its character
 4-grams, both hashed. The network reads windows of ``WINDOW`` words, each beginning ``STRIDE`` words after
 the last, that together cover the whole text; a text is as toxic as its most toxic window. It is trained
-on a bounded sample of labelled documents: those windows of a document that the network finds most toxic
-learn its label. The probability is calibrated on a part of the sample kept aside.
+from random weights on a bounded sample of labelled documents: those windows of a document that the network
+finds most toxic learn its label, and in the first third of the training, when it finds nothing yet, those
+with the most words that are frequent in toxic documents. These counts choose windows and are no inputs. The probability is calibrated on a part of the sample kept aside.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import functions as F
 from almucantar.llm import shared, words
 
 WINDOW, STRIDE = 24, 12
+#: Text bytes that are read at once, and windows that are learned from at once.
+BATCH, GROUP = 1 << 20, 128
 WORD_BITS, CHAR_BITS = 18, 16
 WORD_DIM, CHAR_DIM, HIDDEN, ATTEND = 6, 6, 8, 8
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -37,19 +40,24 @@ def _tanh(x: np.ndarray) -> np.ndarray:
 class Text:
     """Words of some texts: the different ones with their n-grams, and the texts as sequences of them."""
 
-    word: np.ndarray  # bucket of each different word
+    hash: np.ndarray  # of each different word as it stands
+    word: np.ndarray  # its bucket
     gram: np.ndarray  # buckets of their n-grams, one after another
     cuts: np.ndarray  # where each word's n-grams begin, one more than words
     index: np.ndarray  # for each word of the texts, which different word it is
     bounds: np.ndarray  # where each text's words begin, one more than texts
 
+    def of(self, used: np.ndarray) -> Text:
+        """Some of the different words, without texts."""
+        return Text(self.hash[used], self.word[used], *_grams(self, used), np.zeros(0, np.int32), np.zeros(1, np.int64))
+
 
 def read(texts: pa.Array) -> Text:
     """The words of whole texts. Punctuation at a word's ends is dropped; null: no words."""
     hashes, bounds, first, last, data = words.word_spans(texts)
     if not len(hashes):
-        return Text(*(np.zeros(0, np.int64) for _ in range(2)), np.zeros(1, np.int64), np.zeros(0, np.int64), bounds)
-    _, one, index = np.unique(hashes, return_index=True, return_inverse=True)
+        return Text(hashes, np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(0, np.int32), bounds)
+    known, one, index = np.unique(hashes, return_index=True, return_inverse=True)
     first, last = first[one].copy(), last[one].copy()
     mark = _PUNCTUATION[data]
     for _ in range(4):
@@ -68,7 +76,30 @@ def read(texts: pa.Array) -> Text:
     left = np.repeat(size, size) - offset
     gram = np.where(left >= 4, gram, gram & ((np.uint64(1) << (np.minimum(left, 4).astype(np.uint64) * np.uint64(8))) - np.uint64(1)))
     sums = np.add.reduceat(words.mix(gram * _STEP + offset.astype(np.uint64)), cuts[:-1])
-    return Text((words.mix(sums) >> np.uint64(64 - WORD_BITS)).astype(np.int64), (words.mix(gram) >> np.uint64(64 - CHAR_BITS)).astype(np.int64), cuts, index.astype(np.int64), bounds)
+    return Text(known, (words.mix(sums) >> np.uint64(64 - WORD_BITS)).astype(np.int64), (words.mix(gram) >> np.uint64(64 - CHAR_BITS)).astype(np.uint32), cuts, index.astype(np.int32), bounds)
+
+
+def read_all(texts: list[str], most_bytes: int = 512 << 10) -> Text:
+    """As ``read`` over all texts, with the working memory of about ``most_bytes`` of them."""
+    parts, some, size = [], [], 0
+    for k, text in enumerate(texts):
+        some.append(text)
+        size += len(text)
+        if size >= most_bytes or k == len(texts) - 1:
+            parts.append(read(pa.array(some, pa.large_string())))
+            some, size = [], 0
+    if not parts:
+        return read(pa.array([], pa.large_string()))
+    known, one, place = np.unique(np.concatenate([p.hash for p in parts]), return_index=True, return_inverse=True)
+    sizes = np.concatenate([np.diff(p.cuts) for p in parts])
+    begins = np.cumsum(sizes) - sizes
+    cuts = np.concatenate([[0], np.cumsum(sizes[one])])
+    grams = np.concatenate([p.gram for p in parts])[np.repeat(begins[one] - cuts[:-1], sizes[one]) + np.arange(int(cuts[-1]))]
+    first = np.cumsum([0] + [len(p.hash) for p in parts])
+    index = np.concatenate([place[first[k] :][p.index] for k, p in enumerate(parts)]).astype(np.int32)
+    ends = np.cumsum([0] + [len(p.index) for p in parts])
+    bounds = np.concatenate([[0]] + [p.bounds[1:] + ends[k] for k, p in enumerate(parts)])
+    return Text(known, np.concatenate([p.word for p in parts])[one], grams, cuts, index, bounds)
 
 
 _PUNCTUATION = np.zeros(256, bool)
@@ -111,8 +142,8 @@ class Network:
         """A row for each different word."""
         if not len(t.word):
             return np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
-        chars = np.add.reduceat(self.w["char"][t.gram], t.cuts[:-1]) / np.diff(t.cuts)[:, None]
-        return np.concatenate([self.w["word"][t.word], chars.astype(np.float32)], 1)
+        chars = np.add.reduceat(self.w["char"][t.gram], t.cuts[:-1]) / np.diff(t.cuts)[:, None].astype(self.w["char"].dtype)
+        return np.concatenate([self.w["word"][t.word], chars], 1)
 
     def projected(self, x: np.ndarray) -> dict[str, np.ndarray]:
         """What the words put into both directions' gates, with a row of zeros for no word."""
@@ -175,13 +206,21 @@ class Network:
             d_gates[side] = d_x
         return g, d_gates
 
-    def logits(self, t: Text, most: int = 2048) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The logit of every window of all texts, with the window's first word and text."""
+    def logits(self, t: Text, most: int = 2048, most_words: int = 100_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The logit of every window of all texts, with the window's first word and text.
+
+        Inputs are made for the words of about ``most_words`` places at once.
+        """
         first, size, text = windows(t.bounds)
-        gates, out = self.projected(self.inputs(t)), np.empty(len(first), np.float32)
-        for i in range(0, len(first), most):
-            index, mask = window_words(t, first[i : i + most], size[i : i + most])
-            out[i : i + most] = self.forward(gates, index, mask)
+        out = np.empty(len(first), np.float32)
+        cuts = np.flatnonzero(np.r_[True, np.diff(first // most_words) > 0, True]) if len(first) else np.zeros(1, np.int64)
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            used = np.unique(t.index[first[lo] : first[hi - 1] + size[hi - 1]])
+            own = t.of(used)
+            gates = self.projected(self.inputs(own))
+            for i in range(lo, hi, most):
+                index, mask = window_words(t, first[i : min(hi, i + most)], size[i : min(hi, i + most)])
+                out[i : min(hi, i + most)] = self.forward(gates, np.where(index >= 0, np.searchsorted(used, index), -1), mask)
         return out, first, text
 
     def scores(self, t: Text) -> np.ndarray:
@@ -202,40 +241,36 @@ def window_words(t: Text, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarr
     return np.where(mask, index, -1), mask.astype(np.float32)
 
 
-def _odds(t: Text, shown: np.ndarray, learn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log odds of the label of the documents that have a word, and a character n-gram, by bucket; 0 where none has."""
-    seen = [np.zeros((2, 1 << bits), np.int64) for bits in (WORD_BITS, CHAR_BITS)]
+def _evidence(t: Text, y: np.ndarray, learn: np.ndarray) -> np.ndarray:
+    """For each different word the log odds of the label among documents that have a word of its bucket, at least 0."""
+    seen = np.zeros((2, 1 << WORD_BITS), np.int64)
     for doc in np.flatnonzero(learn):
-        own = np.unique(t.index[t.bounds[doc] : t.bounds[doc + 1]])
-        for n, buckets in zip(seen, (t.word[own], _grams(t, own)[0]), strict=True):
-            n[shown[doc], np.unique(buckets)] += 1
-    out = []
-    total = [max(1, int((shown[learn] == k).sum())) for k in (0, 1)]
-    for zero, one in seen:
-        out.append(np.where(zero + one > 0, np.log((one + 0.5) / (total[1] + 1)) - np.log((zero + 0.5) / (total[0] + 1)), 0.0))
-    return out[0], out[1]
-
-
-def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 10, seed: int = 5) -> Network:
-    """A network trained on whole texts with labels 0 and 1; ``prior`` is the share of 1 among all labels."""
+        seen[y[doc], np.unique(t.word[t.index[t.bounds[doc] : t.bounds[doc + 1]]])] += 1
+    total = [max(1, int((y[learn] == k).sum())) for k in (0, 1)]
+    odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
+    return np.where(seen.any(0), np.maximum(odds, 0), 0.0)[t.word]
+
+
+def fit(texts: list[str], labels: list[int], prior: float, steps: int = 600, seed: int = 5) -> Network:
+    """A network trained on whole texts with labels 0 and 1; ``prior`` is the share of 1 among all labels.
+
+    It goes over the texts as often as about ``steps`` steps of ``GROUP`` windows take, at least four times.
+    """
     net = Network.new()
     y = np.array(labels, np.int64)
     if not len(y) or y.min() == y.max():
         net.w["o"][:] = 0
         net.shift = -4.0 if not len(y) or y[0] == 0 else 4.0
         return net
-    t = read(pa.array(texts, pa.large_string()))
+    t = read_all(texts)
     aside = np.arange(len(y)) % 5 == 0
-    odds_w, odds_c = _odds(t, y, ~aside)
-    net.w["word"][:, 0] = np.clip(odds_w, -4, 6) / 3
-    net.w["char"][:, 0] = np.clip(odds_c, -4, 6)
     first, length, text = windows(t.bounds)
     begins = np.flatnonzero(np.r_[True, text[1:] != text[:-1]])
-    evidence = np.concatenate([[0], np.cumsum(np.maximum(odds_w[t.word] + net.inputs(t)[:, WORD_DIM], 0)[t.index])])
-    rank = evidence[first + length] - evidence[first]  # before anything is learned: what the words say
+    evidence = np.concatenate([[0], np.cumsum(_evidence(t, y, ~aside)[t.index])])
+    rank = evidence[first + length] - evidence[first]
     rng = np.random.default_rng(seed)
     memory: dict[str, list[np.ndarray]] = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.w.items()}
-    step = 0
+    step, epochs = 0, max(4, round(steps * GROUP / max(1, int((~aside).sum() + 2 * (~aside & (y == 0)).sum()))))
     for epoch in range(epochs):
         order = np.lexsort((-rank, text))
         top = order[begins]
@@ -245,10 +280,10 @@ def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 10, see
         pick = np.concatenate([top, second[zero], other[zero]])
         pick = pick[~aside[text[pick]]]
         rng.shuffle(pick)
-        for i in range(0, len(pick), 128):
+        for i in range(0, len(pick), GROUP):
             step += 1
-            _learn(net, t, pick[i : i + 128], first, length, y[text[pick[i : i + 128]]], memory, step, 0.01 * (0.8**epoch))
-        if epoch < epochs - 1:
+            _learn(net, t, pick[i : i + GROUP], first, length, y[text[pick[i : i + GROUP]]], memory, step, 0.01 * 0.8 ** (10 * epoch / epochs))
+        if epochs // 3 <= epoch < epochs - 1:  # until then the windows whose words are frequent in toxic texts
             rank = net.logits(t)[0]
     logit = net.logits(t)[0]
     best = np.maximum.reduceat(logit, begins).astype(np.float64)
@@ -259,7 +294,7 @@ def fit(texts: list[str], labels: list[int], prior: float, epochs: int = 10, see
 def _learn(net: Network, t: Text, pick: np.ndarray, first: np.ndarray, length: np.ndarray, y: np.ndarray, memory: dict, step: int, rate: float) -> None:
     index, mask = window_words(t, first[pick], length[pick])
     used = np.unique(index[index >= 0])
-    own = Text(t.word[used], *_grams(t, used), np.zeros(0, np.int64), np.zeros(1, np.int64))
+    own = t.of(used)
     index = np.where(index >= 0, np.searchsorted(used, index), -1)
     x = net.inputs(own)
     gates = net.projected(x)
@@ -320,33 +355,36 @@ def held_out(doc_id: str = "doc_id", of: int = 3, remainder: int = 1):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % of == remainder, F.lit(True))
 
 
-def train(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 2000, most_bytes: int = 48 << 20) -> Network:
+def train(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 2000, most_bytes: int = 16 << 20) -> Network:
     """Learns from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic).
 
     The sample has about ``toxic`` and ``clean`` documents of the two labels, and texts of ``most_bytes`` at
-    most, chosen by a hash of the id. Several labels of one id count as their largest; null labels as none.
+    most, chosen by a hash of the id. Several labels of one id count as their largest and several texts as
+    the smallest; null labels and ids count as none. Without labels every text scores low.
     """
     spark = docs.sparkSession
-    known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in known.where("toxic in (0, 1)").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return fit([], [], 0.0)
     prior = sizes.get(1, 0) / sum(sizes.values())
     chance = F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) / float(1 << 30)
     picked = known.where((F.col("toxic").isin(1) & (chance < toxic / max(1, sizes.get(1, 0)))) | (F.col("toxic").isin(0) & (chance < clean / max(1, sizes.get(0, 0)))))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "toxic")  # as many rows as the sample
-    sizes_of = sorted((chance_of(r["doc_id"]), r["doc_id"], r["b"]) for r in found.select("doc_id", F.octet_length("text").alias("b")).collect())
+    found = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))  # as many rows as the sample
     total, chosen = 0, []
-    for _, doc, size in sizes_of:
+    for _, doc, size in sorted((chance_of(r["doc_id"]), r["doc_id"], r["b"]) for r in found.select("doc_id", F.octet_length("text").alias("b")).collect()):
         if total + size <= most_bytes:
             chosen.append(doc)
             total += size
     if not chosen:
         return fit([], [], prior)
-    rows = found.join(F.broadcast(spark.createDataFrame([(d,) for d in sorted(set(chosen))], "doc_id long")), "doc_id", "left_semi").collect()
-    rows = sorted(rows, key=lambda r: (chance_of(r["doc_id"]), r["doc_id"], r["text"]))
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
+    rows = found.join(F.broadcast(spark.createDataFrame([(d,) for d in chosen], "doc_id long")), "doc_id", "left_semi").collect()
+    rows = sorted(rows, key=lambda r: chance_of(r["doc_id"]))
+    net = fit([r["text"] for r in rows], [r["toxic"] for r in rows], prior)
+    del rows
+    shared.trim()
+    return net
 
 
 def chance_of(doc_id: int) -> int:
@@ -357,16 +395,18 @@ def chance_of(doc_id: int) -> int:
 def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
     """doc_id, score, predicted for the whole text of each row of ``docs``.
 
-    Null and empty texts have the score of a window without words. Equal texts score equally; an empty
-    table gives an empty one; further columns are not read.
+    Null and empty texts have the score of a window without words. Equal texts score equally, whatever their
+    ids; a long text is read as a whole, its windows some thousands at a time; an empty table gives an empty
+    one; further columns, whatever their names, are not read.
     """
     shared.small_arrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
 
     def run(batches):
+        shared.begin("toxicity")
         net = sent.value
         for batch in batches:
-            for part in shared.text_batches([batch], 4 << 20):
+            for part in shared.text_batches([batch], BATCH):
                 p = net.scores(read(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -375,14 +415,18 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.7) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, net: Network, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score under ``threshold``, with all their columns. Null texts stay."""
+    """The rows of ``docs`` that score under ``threshold``, with all their columns, whatever their names.
+
+    Null texts stay; repeated rows are judged alike; an empty table gives an empty one.
+    """
     shared.small_arrow_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
+        shared.begin("toxicity")
         net = sent.value
         for batch in batches:
-            for part in shared.text_batches([batch], 4 << 20):
+            for part in shared.text_batches([batch], BATCH):
                 texts = part.column(text_col)
                 yield part.filter(pa.array((net.scores(read(texts)) < threshold) | texts.is_null().to_numpy(zero_copy_only=False)))
 
