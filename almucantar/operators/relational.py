@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from almucantar.functions import geo
+
 
 def first_wins(rows: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The first row of each key; give ``order`` a tiebreak."""
@@ -45,16 +47,21 @@ def islands(rows: DataFrame, keys: list[str], value: str, gap: float) -> DataFra
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, right_id: str, before: float, after: float) -> DataFrame:
-    """For each left row the right row of its key nearest in time within [-before, +after] seconds; ties to the smaller id.
+    """Each left row with the right row of its key nearest in time within [-before, +after] seconds, or null; ties to the smaller id.
 
-    Right rows go to two buckets of the window's length, so the join is on equal buckets whatever the key's skew.
+    Right rows go to buckets of the window's length and left rows to the two that the window meets, so the join is on
+    equal keys and buckets; rows of one key and bucket meet in one task. Left rows that are equal stay as many.
     """
     span = max(1.0, before + after)
-    l = left.withColumn("_t", F.col(left_time).cast("double")).withColumn("_b", F.explode(F.array(F.floor((F.col("_t") - before) / span), F.floor((F.col("_t") - before) / span) + 1)))
-    r = right.select(F.col(key), F.col(right_id), F.col(right_time).cast("double").alias("_u")).withColumn("_b", F.floor(F.col("_u") / span))
-    hit = l.join(r, [key, "_b"]).where((F.col("_u") - F.col("_t")).between(-before, after))
-    own = [c for c in left.columns]
-    return hit.groupBy(*own).agg(F.min_by(F.struct(right_id, "_u"), F.struct(F.abs(F.col("_u") - F.col("_t")), F.col(right_id))).alias("near")).select(*own, F.col(f"near.{right_id}").alias("near_id"), (F.col("near._u") - F.col(left_time).cast("double")).alias("seconds"))
+    own = left.columns
+    l = left.withColumns({"_row": F.monotonically_increasing_id(), "_t": F.col(left_time).cast("double")})
+    l = l.withColumn("_b", F.explode(F.array(F.floor((F.col("_t") - before) / span), F.floor((F.col("_t") - before) / span) + 1)))
+    r = right.select(F.col(key).alias("_key"), F.col(right_id).alias("_id"), F.col(right_time).cast("double").alias("_u")).withColumn("_rb", F.floor(F.col("_u") / span))
+    near = (F.col(key) == F.col("_key")) & (F.col("_b") == F.col("_rb")) & (F.col("_u") - F.col("_t")).between(-before, after)
+    hit = l.join(r, near, "left")
+    order = F.when(F.col("_u").isNotNull(), F.struct(F.abs(F.col("_u") - F.col("_t")), F.col("_id")))
+    best = hit.groupBy("_row").agg(*[F.first(c).alias(c) for c in own], F.min_by(F.struct("_id", "_u"), order).alias("_near"))
+    return best.select(*own, F.col("_near._id").alias("near_id"), (F.col("_near._u") - F.col(left_time).cast("double")).alias("seconds"))
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
@@ -65,10 +72,18 @@ def snapshot_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataF
 
 
 def containing_areas(points: DataFrame, areas: DataFrame, point_key: str) -> DataFrame:
-    """Pairs of points (lat, lon) and areas (id, s, w, n, e, ...) whose box contains them, by one-degree cells."""
-    cells = areas.withColumn("_i", F.explode(F.sequence(F.floor("s"), F.floor("n")))).withColumn("_j", F.explode(F.sequence(F.floor("w"), F.floor("e"))))
-    at = points.withColumns({"_i": F.floor("lat"), "_j": F.floor("lon")})
-    return at.join(cells, ["_i", "_j"]).where("lat between s and n and lon between w and e").drop("_i", "_j")
+    """Pairs of points (lat, lon) and areas (id, s, w, n, e, ...) that contain them, by cells of one or 36 degrees.
+
+    An area with ``polygons`` (each of flat rings, the outer one first) contains what lies in one of them; without, its box.
+    """
+    size = F.when(F.greatest(F.col("n") - F.col("s"), F.col("e") - F.col("w")) <= 4, 1).otherwise(36)  # large boxes by coarse cells
+    cells = areas.withColumn("_z", size).withColumn("_i", F.explode(F.sequence(F.floor(F.col("s") / F.col("_z")), F.floor(F.col("n") / F.col("_z"))))).withColumn("_j", F.explode(F.sequence(F.floor(F.col("w") / F.col("_z")), F.floor(F.col("e") / F.col("_z")))))
+    at = points.withColumn("_z", F.explode(F.array(F.lit(1), F.lit(36)))).withColumns({"_i": F.floor(F.col("lat") / F.col("_z")), "_j": F.floor(F.col("lon") / F.col("_z"))})
+    hit = at.join(cells, ["_z", "_i", "_j"]).where("lat between s and n and lon between w and e").drop("_z", "_i", "_j")
+    if "polygons" not in areas.columns:
+        return hit
+    inside = F.exists("polygons", lambda rings: geo.polygon_contains(F.col("lon"), F.col("lat"), rings))
+    return hit.where(inside).drop("polygons")
 
 
 def pick_area(pairs: DataFrame, point_key: str, rule: str = "finest", city_radius_km: float = 13.0) -> DataFrame:

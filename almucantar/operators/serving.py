@@ -65,7 +65,7 @@ def prior_window(today: Column, years: int, finished_month: int = 3) -> tuple[Co
 
 def retained(runs: DataFrame, run: str, newest: int) -> DataFrame:
     """The newest runs; the rest may go."""
-    return runs.withColumn("_k", F.row_number().over(Window.orderBy(F.desc(run)))).where(F.col("_k") <= newest).drop("_k")
+    return runs.orderBy(F.desc(run)).limit(newest)
 
 
 def months_ready(counts: DataFrame, keys: list[str], least: int, slots: int = 8) -> DataFrame:

@@ -68,10 +68,10 @@ def brightness_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT event_id, strftime(date_trunc('day', ts) + to_hours(CAST((hour(ts) // 6 - k) * 6 AS BIGINT)), '%Y%m%d%H') AS cycle_id FROM events, range(0, 8) r(k)
-WHERE event_id % 50 = 7 AND ((hour(ts) // 6 - k) * 6 + 48) % 24 IN (0, 12)""")
+WHERE ((hour(ts) // 6 - k) * 6 + 48) % 24 IN (0, 12)""")
 def latest_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The runs to look for at some times: every fiftieth event asks."""
-    e = table(spark, sf_dir, "events").where("event_id % 50 = 7")
+    """The runs to look for at the time of each event."""
+    e = table(spark, sf_dir, "events")
     return e.select("event_id", F.explode(serving.latest_cycles(F.col("ts").cast("timestamp"), [0, 12])).alias("cycle_id"))
 
 

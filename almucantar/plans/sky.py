@@ -10,6 +10,8 @@ from almucantar.operators import columns, kernels, relational, stats
 from almucantar.plans.registry import micro, points, query, sql_points
 from almucantar.session import table
 
+#: Stations of a network that is solved as one system.
+MOST_STATIONS = 4000
 _P, _S = sql_points(), sql_points("supplier", "s_suppkey")
 
 
@@ -153,10 +155,12 @@ def variogram_lags(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kriging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The factor at each place from the station network; SQL solves no equations."""
     sites = _sites(spark, sf_dir)
-    model = stats.variogram_model(stats.variogram_lags(sites)).first()
-    network = [{"lat": r["lat"], "lon": r["lon"], "ratio": 1.0 + r["site"] % 7, "error": 0.01} for r in sites.collect()]  # the network is the model
-    nugget, sill, reach = (model["nugget"], model["sill"], model["range_km"]) if model and model["nugget"] is not None else (0.1, 0.0, 1.0)
-    return kernels.krige(points(spark, sf_dir), network, nugget, sill, reach)
+    model = stats.network_model(sites).first()
+    rows = sites.limit(MOST_STATIONS + 1).collect()  # the network is the model
+    if len(rows) > MOST_STATIONS:
+        raise ValueError(f"a network of more than {MOST_STATIONS} stations is not kriged as a whole")
+    network = [{"site": r["site"], "lat": r["lat"], "lon": r["lon"], "ratio": 1.0 + r["site"] % 7, "error": 0.01} for r in sorted(rows, key=lambda r: r["site"])]
+    return kernels.krige(points(spark, sf_dir), network, model["nugget"], model["sill"], model["range_km"]).drop("stations")
 
 
 @query(f"""SELECT site, azimuth, CAST(round(max(slope) * 1e9) AS BIGINT) AS slope, arg_max(metres, (slope, -metres)) AS metres FROM (
@@ -218,7 +222,7 @@ def path_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = astro.sun_events(p).where("event_jd is not null").withColumn("km", F.explode(F.lit([0.0, 20.0, 50.0, 100.0])))
     lat2, lon2 = geo.destination(F.col("lat"), F.col("lon"), F.col("azimuth"), F.col("km"))
     ts = F.timestamp_micros(((F.col("event_jd") - 2440587.5) * 86400e6).cast("long"))
-    requests = path.select(F.xxhash64("place", "km").alias("req_id"), "place", "km", lat2.alias("lat"), lon2.alias("lon"), ts.alias("ts"), F.pmod(F.floor(lat2).cast("long"), F.lit(5)).alias("cell"))
+    requests = path.select("place", "km", lat2.alias("lat"), lon2.alias("lon"), ts.alias("ts"), F.pmod(F.floor(lat2).cast("long"), F.lit(5)).alias("cell"))
     events = table(spark, sf_dir, "events").withColumn("cell", F.col("user_id") % 5)
     store = climatology.sums(events, ["cell"])
     out = climatology.blend(requests, store, ["cell"], 1)
