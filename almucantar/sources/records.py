@@ -47,6 +47,77 @@ def observations(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"day": day, "time": F.lpad(time, 8, "0")}).where("day is not null and time is not null")
 
 
+#: A time of day, as the observation files have it.
+TIME = r"(\d{1,2}):(\d{2}):(\d{2})"
+
+
+def year_table(lines: DataFrame, quoted: bool = False) -> DataFrame:
+    """file, line_no, day, time, code of tables with a line for each day and a cell for each year.
+
+    Plain files: a header with DATE and the years, then number, DD-Mon and cells between commas. ``quoted`` ones: a line
+    of four years or more, then cells in quotes, the day first. 29 February of common years and cells without a time are
+    left out, as are files without a header.
+    """
+    line = F.col("line")
+    years = F.regexp_extract_all(line, F.lit(r"\b(19\d\d)\b" if quoted else r"\b(19\d\d|20\d\d)\b"), F.lit(1))
+    is_head = F.size(years) >= 4 if quoted else (F.size(years) >= 2) & F.upper(line).contains("DATE")
+    heads = lines.where(is_head).groupBy("file").agg(F.min_by(years, "line_no").alias("years"), F.min("line_no").alias("head"))
+    rows = lines.join(heads, "file").where("line_no > head")
+    if quoted:
+        every = F.regexp_extract_all(line, F.lit('"([^"]*)"'), F.lit(1))
+        rows = rows.withColumn("_c", every).where("size(_c) >= 2").withColumns({"ddmon": F.get("_c", F.lit(0)), "cells": F.slice("_c", F.lit(2), F.size("_c"))}).where(F.col("ddmon").rlike(r"^\d{2}-[A-Za-z]{3}$"))
+        pattern = f"^{TIME}([A-Za-z]?)$"
+    else:
+        own = r"^\s*\d+\s+(\d{2}-[A-Za-z]{3})\s*(.*)$"
+        rows = rows.where(line.rlike(own)).withColumns({"ddmon": F.regexp_extract(line, own, 1), "cells": F.split(F.regexp_extract(line, own, 2), ",")})
+        pattern = TIME + r"\s*([A-Za-z]?)"
+    cells = rows.select("file", "line_no", "ddmon", "years", F.posexplode("cells").alias("at", "cell")).where("at < size(years)").withColumn("cell", F.trim("cell")).where(F.col("cell").rlike(pattern))
+    part = lambda k: F.regexp_extract("cell", pattern, k)
+    day = F.try_to_date(F.concat(F.get("years", F.col("at")), F.lit("-"), F.initcap(F.substring("ddmon", 4, 3)), F.lit("-"), F.substring("ddmon", 1, 2)), "yyyy-MMM-dd")
+    return cells.select("file", "line_no", day.alias("day"), F.concat(F.lpad(part(1), 2, "0"), F.lit(":"), part(2), F.lit(":"), part(3)).alias("time"), part(4).alias("code")).where("day is not null")
+
+
+def leap_day(number: Column, year: Column) -> Column:
+    """The date of a day that is counted as in a leap year (60: 29 February); null where the year has none."""
+    at = F.date_add(F.lit("2000-01-01").cast("date"), number.cast("int") - 1)
+    return F.try_to_date(F.concat(year.cast("string"), F.date_format(at, "-MM-dd")), "yyyy-MM-dd")
+
+
+def day_fractions(cells: DataFrame) -> DataFrame:
+    """day, time, code of a sheet's cells (number of the day as in leap years, year, value, mark): a time is a fraction of a
+    day; other values are no observation. Marks are one of three letters."""
+    seconds = F.round(F.col("value") * 86400).cast("int")
+    time = F.format_string("%02d:%02d:%02d", F.floor(seconds / 3600).cast("int"), F.floor(seconds / 60).cast("int") % 60, seconds % 60)
+    code = F.coalesce(F.try_element_at(F.create_map(F.lit("ב"), F.lit("B"), F.lit("כ"), F.lit("K"), F.lit("מ"), F.lit("M")), F.trim("mark")), F.lit(""))
+    rows = cells.where("value > 0 and value < 1 and number between 1 and 366")
+    return rows.select(leap_day(F.col("number"), F.col("year")).alias("day"), time.alias("time"), code.alias("code")).where("day is not null")
+
+
+def station_temperatures(days: DataFrame, column: str = "body") -> DataFrame:
+    """The columns of a station's days, and at, value of its valid readings of channel TD, from JSON text."""
+    kind = "struct<data:array<struct<datetime:string,channels:array<struct<name:string,valid:boolean,value:double>>>>>"
+    own = days.withColumn("_r", F.explode(F.from_json(column, kind)["data"])).withColumn("_c", F.explode("_r.channels"))
+    good = own.where((F.col("_c.name") == "TD") & F.coalesce(F.col("_c.valid"), F.lit(True)) & F.col("_c.value").isNotNull())
+    return good.select(*[c for c in days.columns if c != column], F.try_to_timestamp(F.col("_r.datetime")).alias("at"), F.col("_c.value").alias("value"))
+
+
+def observation_times(lines: DataFrame, offset_hours: int = 2) -> DataFrame:
+    """file, line_no, ts in UTC of CSV observations in local time with columns date and time, by name; blank lines and those
+    that begin with # are left out."""
+    own = lines.where("trim(line) != '' and not startswith(line, '#')").withColumn("f", F.split("line", ","))
+    heads = own.groupBy("file").agg(F.min_by("f", "line_no").alias("names"), F.min("line_no").alias("head"))
+    rows = own.join(heads, "file").where("line_no > head")
+    field = lambda name: F.trim(F.get("f", F.array_position("names", name).cast("int") - 1))
+    time = F.when(F.size(F.split(field("time"), ":")) == 2, F.concat(field("time"), F.lit(":00"))).otherwise(field("time"))
+    local = F.try_to_timestamp(F.concat(field("date"), F.lit(" "), F.lpad(time, 8, "0")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    return rows.select("file", "line_no", F.timestamp_add("HOUR", F.lit(-offset_hours), local).alias("ts")).where("ts is not null")
+
+
+def leading_dates(lines: DataFrame) -> DataFrame:
+    """day: the different dates that lines begin with, in order."""
+    return lines.select(F.try_to_date(F.regexp_extract("line", r"^\s*(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd").alias("day")).where("day is not null").distinct().orderBy("day")
+
+
 def first_per_day(rows: DataFrame, order: str) -> DataFrame:
     """One observation a day, of the first file."""
     at = F.row_number().over(Window.partitionBy("day").orderBy(order, "line_no"))
@@ -113,11 +184,16 @@ def reading_reason(sqm: Column, cloud: Column, day: Column, sun: Column, moon: C
 
 
 def geojson_polygons(features: DataFrame, column: str = "feature") -> DataFrame:
-    """Features as JSON text to id and polygons (rings of at least four points, as lon, lat pairs)."""
+    """Features as JSON text to id and polygons (rings of at least four points, as lon, lat pairs); of a collection all its parts'."""
     ring = "array<array<array<double>>>"
-    kind = F.get_json_object(column, "$.geometry.type")
-    shape = F.get_json_object(column, "$.geometry.coordinates")
-    polygons = F.when(kind == "Polygon", F.array(F.from_json(shape, ring))).when(kind == "MultiPolygon", F.from_json(shape, f"array<{ring}>"))
+
+    def of(kind: Column, shape: Column) -> Column:
+        made = F.when(kind == "Polygon", F.array(F.from_json(shape, ring))).when(kind == "MultiPolygon", F.from_json(shape, f"array<{ring}>"))
+        return F.coalesce(made, F.array().cast(f"array<{ring}>"))
+
+    parts = F.from_json(F.get_json_object(column, "$.geometry.geometries"), "array<struct<type:string,coordinates:string>>")
+    one = of(F.get_json_object(column, "$.geometry.type"), F.get_json_object(column, "$.geometry.coordinates"))
+    polygons = F.concat(one, F.coalesce(F.flatten(F.transform(parts, lambda g: of(g["type"], g["coordinates"]))), F.array().cast(f"array<{ring}>")))
     whole = F.transform(polygons, lambda p: F.filter(p, lambda r: F.size(r) >= 4))
     return features.select(F.get_json_object(column, "$.properties.id").alias("id"), F.filter(whole, lambda p: F.size(p) > 0).alias("polygons"))
 

@@ -9,7 +9,7 @@ import time
 from almucantar.plans import registry
 from almucantar.session import get_spark
 
-HEADLINE = ["clim_sums", "clim_blend", "area_finest", "area_percentiles", "nearest_in_window", "build_profile", "sun_events", "horizon_argmax", "kriging", "path_profiles", "envelope_minmax", "guard_counts"]
+HEADLINE = ["clim_sums", "clim_blend", "area_finest", "area_percentiles", "nearest_in_window", "build_profile", "sun_events", "horizon_argmax", "kriging", "path_profiles", "envelope_minmax", "guard_counts", "clim_fields_at", "horizon_crests", "sky_correction", "areas_containing"]
 
 
 def main() -> None:
