@@ -91,7 +91,7 @@ def described(docs: DataFrame, shingle: int, bands: int, rows: int, id_col: str
     return narrow.mapInArrow(run, "doc_id long, text_key binary, n_shingles long, set_key binary, bands array<long>, counts binary")
 
 
-def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, per_cent: int, most: int = 2000) -> DataFrame:
+def confirmed(edges: DataFrame, texts: DataFrame, shingle: int, per_cent: int, most: int = 500) -> DataFrame:
     """The edges (a, b) whose full sets, of ``texts`` (rep, text), have 100 * intersection >= per_cent * union.
 
     A leader's text goes to its members' tasks, ``most`` members in each, and never all pairs are made.

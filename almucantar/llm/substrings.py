@@ -167,7 +167,7 @@ def _places(known_sid: np.ndarray, known_h: np.ndarray, sid: np.ndarray, h: np.n
     """Where each stretch is among the known ones, and whether it is there; both hashes must be equal."""
     if not len(known_sid):
         return np.zeros(len(sid), np.int64), np.zeros(len(sid), bool)
-    order = np.lexsort((known_h, known_sid))
+    order = np.argsort(known_sid, kind="stable")
     s, t = known_sid[order], known_h[order]
     k = np.minimum(np.searchsorted(s, sid), len(s) - 1)
     while True:
@@ -247,7 +247,9 @@ def _anchors(length: int, buckets: int, sent):
                         if not len(h):
                             continue
                         doc = ids[np.searchsorted(at, first, "right") - 1]
-                        order = np.lexsort((doc, h, sid))
+                        order = np.lexsort((doc, sid))
+                        if ((h[order][1:] != h[order][:-1]) & (sid[order][1:] == sid[order][:-1])).any():  # two stretches of one hash
+                            order = np.lexsort((doc, h, sid))
                         h, sid, doc = h[order], sid[order], doc[order]
                         new = np.flatnonzero(np.r_[True, (sid[1:] != sid[:-1]) | (h[1:] != h[:-1])])
                         many = np.maximum.reduceat(doc, new) > doc[new]
