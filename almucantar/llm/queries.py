@@ -117,12 +117,12 @@ FROM documents LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS compone
 """
 
 _OP10 = """
-WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents
-), s AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY substr(h, 2 * i + 1, 100)) AS least FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM b)
-), c AS (SELECT doc_id, h, unnest(range(0, n)) AS j FROM b
+WITH b AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS l, strlen(coalesce(text, '')) AS n FROM documents
+), c AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS j FROM b
+), w AS (SELECT doc_id, j, x, string_agg(x, '') OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS g FROM c
+), f AS (SELECT g, min(doc_id) AS least FROM w WHERE strlen(g) = 100 GROUP BY 1
 ), m AS (
-  SELECT c.doc_id, j, substr(h, CAST(2 * j + 1 AS BIGINT), 2) AS x, coalesce(j - max(i) OVER (PARTITION BY c.doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) < 50, false) AS gone
-  FROM c LEFT JOIN (SELECT doc_id, i FROM s WHERE doc_id > least) t ON t.doc_id = c.doc_id AND i = j
+  SELECT w.doc_id, j, x, coalesce(j - max(CASE WHEN w.doc_id > least THEN j END) OVER (PARTITION BY w.doc_id ORDER BY j ROWS UNBOUNDED PRECEDING) < 50, false) AS gone FROM w LEFT JOIN f USING (g)
 ), k AS (SELECT *, lag(gone, 1, false) OVER (PARTITION BY doc_id ORDER BY j) AS was FROM m
 ), a AS (
   SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE gone AND NOT was) AS n_spans, string_agg(x, '' ORDER BY j) FILTER (WHERE NOT gone) AS kept FROM k GROUP BY 1
