@@ -216,3 +216,11 @@ def test_observation_files(spark):
     assert [str(r["day"]) for r in records.leading_dates(lines(["2020-02-01 x", " 2020-01-01", "no", "2020-02-01"])).collect()] == ["2020-01-01", "2020-02-01"]
     feature = '{"properties":{"id":"a"},"geometry":{"type":"GeometryCollection","geometries":[{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,1],[0,0]]]},{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[0,0],[1,1],[0,0]]]]},{"type":"Point","coordinates":[1,2]}]}}'
     assert len(records.geojson_polygons(spark.createDataFrame([(feature,)], "feature string")).first()["polygons"]) == 2
+
+
+def test_request_places(spark):
+    df = spark.createDataFrame([(31.1234567, 35.0, 99.0), (70.0, 35.0, 1.0), (10.0, -20.0, None), (10.0, 20.0, -3.0)], "a double, b double, r double")
+    p = ingest.place_parameters(F.col("a"), F.col("b"), F.col("r"), 30.0)
+    assert [tuple(r) for r in df.select(*[v.alias(k) for k, v in p.items()]).collect()] == [(31.12346, 35.0, 30.0), (None, None, None), (10.0, -20.0, 0.0), (10.0, 20.0, 0.0)]
+    box = spark.range(1).select(terrain.box_ends(F.lit(0.0), F.lit(2.0), F.lit(4.0), F.lit(8.0)).alias("e")).first()["e"]
+    assert [tuple(q) for q in box] == [(2.0, 5.0), (0.0, 2.0), (0.0, 8.0), (4.0, 2.0), (4.0, 8.0)]
