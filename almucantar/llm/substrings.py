@@ -35,7 +35,7 @@ BUCKET_BYTES = 8 << 20
 #: Suffix arrays are built over about this many bytes at once; larger groups of one anchor are split first.
 ARRAY_BYTES = 256 << 10
 #: Bytes that are hashed at once.
-SLICE = 1 << 20
+SLICE = 1 << 17
 #: Very common grams are looked for in this many units, and are those seen this often there; at most so many are kept.
 SAMPLE_UNITS, COMMON, MOST_COMMON = 16, 32, 1 << 20
 #: Stretches that a task gathers before it deals them out.
@@ -58,14 +58,15 @@ class Common:
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.flags = np.zeros(1 << 16, bool)
-        self.flags[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+        self.shift = np.uint64(64 - min(22, max(16, len(hashes).bit_length() + 4)))
+        self.flags = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.flags[(self.hashes >> self.shift).astype(np.int64)] = True
 
     def has(self, h: np.ndarray) -> np.ndarray:
         """Which hashes are among them."""
         out = np.zeros(len(h), bool)
         if len(self.hashes):
-            at = np.flatnonzero(self.flags[(h >> np.uint64(48)).astype(np.int64)])
+            at = np.flatnonzero(self.flags[(h >> self.shift).astype(np.int64)])
             k = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.hashes) - 1)
             out[at[self.hashes[k] == h[at]]] = True
         return out
@@ -107,6 +108,17 @@ def stretches(data: np.ndarray, at: np.ndarray, length: int, common: Common = NO
     return h, sid, first, last, anchor
 
 
+def _least(low: np.ndarray, width: int) -> np.ndarray:
+    """The place, in the lower half of the values, of the least of each ``width`` neighbours."""
+    span = 1
+    while span * 2 <= width:
+        low = np.minimum(low[: len(low) - span], low[span:])
+        span *= 2
+    if span < width:
+        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
+    return (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
 def _stretches(data: np.ndarray, at: np.ndarray, length: int, common: Common) -> tuple[np.ndarray, ...]:
     n = len(data)
     if n < length:
@@ -116,16 +128,19 @@ def _stretches(data: np.ndarray, at: np.ndarray, length: int, common: Common) ->
     n_grams = n - GRAM + 1
     h = _windows_hash(words, slice(0, n_grams), GRAM)
     low = ((h >> np.uint64(1)) & np.uint64(0x7FFFFFFF00000000)) | np.arange(n_grams, dtype=np.uint64)
+    width, strings = length - GRAM + 1, n - length + 1
+    anchor = _least(low, width)
     if len(common.hashes):
-        low |= common.has(h).astype(np.uint64) << np.uint64(63)  # above all others
-    width, span = length - GRAM + 1, 1
-    while span * 2 <= width:
-        low = np.minimum(low[: len(low) - span], low[span:])
-        span *= 2
-    if span < width:
-        low = np.minimum(low[: len(low) - (width - span)], low[width - span :])
-    anchor = (low & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    strings = n - length + 1
+        # Only strings whose least gram is very common need to know which of their other grams are.
+        turn = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1], True])
+        bad = np.flatnonzero(common.has(h[anchor[turn[:-1]]]))
+        change = np.zeros(n_grams + 1, np.int32)
+        change[turn[bad]] += 1
+        np.add.at(change, turn[bad + 1] + width - 1, -1)
+        near = np.flatnonzero(np.cumsum(change[:-1]))
+        if len(near):
+            low[near] |= common.has(h[near]).astype(np.uint64) << np.uint64(63)  # above all others
+            anchor = _least(low, width)
     change = np.zeros(strings + 1, np.int32)  # strings that reach over the end of a document
     ends = at[1:-1]
     np.add.at(change, np.clip(ends - length + 1, 0, strings), 1)
@@ -573,7 +588,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, with_kept: bool = False) -
         empty = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
         return spark.createDataFrame([], empty)
     buckets = max(12, math.ceil(size / BUCKET_BYTES))
-    sent = spark.sparkContext.broadcast(common_grams(spark, uris))  # 8 MB at most
+    sent = spark.sparkContext.broadcast(common_grams(spark, uris))  # 12 MB at most
     blobs = "key long, blob binary"
     anchors = shared.spread(spark, [f"{i}|{u}" for i, u in enumerate(uris)]).mapInArrow(_anchors(length, buckets, sent), blobs)
     decided = anchors.repartitionById(buckets, F.col("key").cast("int")).mapInArrow(_decide, "kind int, key long, blob binary")
