@@ -53,7 +53,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     """All registered queries by name."""
-    from almucantar.plans import batch, ground, serving, sky, units, upkeep  # noqa: F401
+    from almucantar.plans import answers, batch, ground, serving, sky, units, upkeep  # noqa: F401
 
     return dict(_QUERIES)
 
