@@ -89,7 +89,8 @@ class Encoder:
             cut = pc.replace_substring(pc.replace_substring(cut, " ", _CUT + " "), "\n", f"{_CUT}\n{_CUT}")
             lists = pc.split_pattern(cut, _CUT)
         else:
-            lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(cut), "\n", " "), " ")
+            own = cut.take(pa.array(np.arange(len(cut))))  # ascii_lower goes wrong on a slice whose offsets do not begin at 0
+            lists = pc.split_pattern(pc.replace_substring(pc.ascii_lower(own), "\n", " "), " ")
         at = lists.offsets.to_numpy()
         coded = lists.values.slice(at[0], at[-1] - at[0]).dictionary_encode()
         pieces = coded.dictionary.to_pylist()

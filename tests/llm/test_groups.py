@@ -6,9 +6,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from almucantar.llm import components, minhash, nearest, packing, substrings, words
+from almucantar.llm import components, minhash, nearest, packing, shared, substrings, words
 from almucantar.llm.suffixes import suffix_array
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -84,6 +85,35 @@ def test_shared_strings(monkeypatch, small):
             assert least[where[i] + o] == k[raw[first[i] + o : first[i] + o + 50].tobytes()]
 
 
+def test_very_common_grams_are_last_anchors():
+    """The anchor of each string is its least gram that is not very common, or its least if all are."""
+    rng = np.random.default_rng(5)
+    line = rng.integers(0, 256, 120, dtype=np.uint8)
+    data = np.concatenate([x for _ in range(12) for x in (line[: rng.integers(20, 121)], rng.integers(0, 256, rng.integers(1, 60), dtype=np.uint8))])
+    h = substrings.grams(data)
+    common = substrings.Common(np.unique(np.concatenate([substrings.grams(line), h[::17]])))
+    known = set(common.hashes.tolist())
+    key = [(int(x) in known, (int(x) >> 1) & 0x7FFFFFFF00000000, i) for i, x in enumerate(h)]
+    width = 50 - substrings.GRAM + 1
+    expected = [min(key[i : i + width])[2] for i in range(len(data) - 49)]
+    _, _, first, last, anchor = substrings.stretches(data, np.array([0, len(data)]), 50, common)
+    assert np.repeat(anchor, last - first + 1).tolist() == expected
+    assert any(key[i][0] for i in expected) and not all(key[i][0] for i in expected)
+
+
+def test_encoder_on_slices():
+    """A slice of an array of texts gets the ids that its texts get one by one."""
+    from almucantar.llm import tokens
+
+    texts = [f"Größe Ärger {i} naïve Łódź 日本語 Text\nNEW Line" * (i % 5) for i in range(300)]
+    batch = pa.record_batch({"text": pa.array(texts, pa.string())})
+    encoder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"), keeps_space=False)
+    for part in shared.text_batches([batch.slice(7)], 4000):
+        ids, bounds = encoder.encode(part.column(0))
+        expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in part.column(0).to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == expected
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(20)] + [(100, 101), (5, 5), (None, 3), (200, 100)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
