@@ -63,7 +63,10 @@ _IN_CALL = re.compile(rf"(?P<string>{_STRINGS})|[()]|\n", re.ASCII | re.DOTALL)
 _ITEM = re.compile(r"[ \t]*-[ \t]+")
 _LINE = re.compile(r"([ \t]*)([^\n]*)(?:\n|$)")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PLACEHOLDER = re.compile(r"(?i)example|sample|changeme|placeholder|dummy|your[_-]|xxxx|\*\*\*|\$\{|%\(|\{\{|^<|^none$|^null$|^true$|^false$|^undefined$")
+_PLACEHOLDER = re.compile(r"(?i)example|sample|changeme|placeholder|dummy|your[_-]|xxxx|\*\*\*|\$\{|%\(|\{\{")
+_NO_VALUE = re.compile(r"(?i)<|(?:none|null|true|false|undefined)$")
+#: Characters of the longest placeholder.
+_LONGEST = 11
 
 #: How sensitive a name is that holds this word, and this pair of words.
 NAME_WORDS = {
@@ -75,8 +78,6 @@ KEY_BEFORE = {"api", "access", "private", "secret", "signing", "encryption", "au
 NAMING, HOLDING = {"name", "key", "id", "field", "variable", "label"}, {"value", "val", "content", "data", "default"}
 
 SPAN_SCORE = 0.5
-#: Characters of a joined value that its score looks at; spans are of whole literals.
-SCORED = 4096
 
 
 def name_score(name: str) -> float:
@@ -88,15 +89,51 @@ def name_score(name: str) -> float:
     return best
 
 
+class _Value:
+    """What a whole value's score depends on. Values are joined by it: names of names may mean more than any memory holds."""
+
+    __slots__ = ("size", "counts", "kinds", "never", "head", "tail")
+
+    def __init__(self, text: str = ""):
+        self.size, self.counts = len(text), Counter(text)
+        self.head, self.tail = text[:_LONGEST], text[-_LONGEST:]
+        self.kinds = [any(map(f, self.counts)) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum())]
+        self.never = any(map(str.isspace, self.counts)) or _PLACEHOLDER.search(text) is not None  # whatever is joined to it
+        if self.never:
+            self.counts = Counter()
+
+    def copy(self) -> _Value:
+        out = _Value()
+        out += self
+        return out
+
+    def __iadd__(self, other: _Value) -> _Value:
+        self.never = self.never or other.never or _PLACEHOLDER.search(self.tail + other.head) is not None
+        self.kinds = [a or b for a, b in zip(self.kinds, other.kinds, strict=True)]
+        self.head, self.tail = (self.head + other.head)[:_LONGEST], (self.tail + other.tail)[-_LONGEST:]
+        self.size += other.size
+        if self.never:
+            self.counts = Counter()
+            return self
+        own, by = self.counts, 0
+        for c, n in other.counts.items():
+            own[c] = own.get(c, 0) + n
+        if self.size >> 256:  # shares far below what a double tells apart go
+            by = self.size.bit_length() - 192
+            self.size >>= by
+            self.counts = Counter({c: n >> by for c, n in own.items() if n >> by})
+        return self
+
+    def score(self) -> float:
+        if self.size < 8 or self.never or _NO_VALUE.match(self.head):
+            return 0.0
+        entropy = -sum(n / self.size * math.log2(n / self.size) for n in self.counts.values())
+        return min(1.0, entropy / 3.0) * (0.55 + 0.15 * sum(self.kinds))
+
+
 def literal_score(value: str) -> float:
-    """How much a literal looks like a key rather than prose or a placeholder, 0 to 1."""
-    value = value[:SCORED]
-    if len(value) < 8 or _PLACEHOLDER.search(value) or any(c.isspace() for c in value):
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(any(f(c) for c in counts) for f in (str.isdigit, str.islower, str.isupper, lambda c: not c.isalnum()))
-    return min(1.0, entropy / 3.0) * (0.55 + 0.15 * kinds)
+    """How much a literal, all of it, looks like a key rather than prose or a placeholder, 0 to 1."""
+    return _Value(value).score()
 
 
 @dataclass
@@ -297,28 +334,41 @@ def _reaching(own: list[Binding]) -> set[tuple[int, int]]:
         return ks[i] if i >= 0 else ks[0]
 
     uses = [[(meant(value, b.at) if is_name else None, value, s, e) for is_name, value, s, e in b.parts] for b in own]
-    values: list[str | None] = [None] * len(own)
+    left = Counter(u for k, parts in enumerate(uses) for u, *_ in parts if u is not None and u != k)  # uses to come
+    values: list[_Value | None] = [None] * len(own)
+    done, hot = [False] * len(own), []
     for root in range(len(own)):  # each value once, without recursion; what a cycle adds is empty
         todo, open_ = [root], set()
         while todo:
             k = todo[-1]
-            if values[k] is not None:
+            if done[k]:
                 todo.pop()
                 continue
-            missing = [u for u, *_ in uses[k] if u is not None and u != k and values[u] is None and u not in open_]
+            missing = [u for u, *_ in uses[k] if u is not None and u != k and not done[u] and u not in open_]
             if missing and k not in open_:
                 open_.add(k)
                 todo += missing
                 continue
-            out, size = [], 0
+            out = None
             for u, value, _, _ in uses[k]:
-                out.append(value if u is None or u == k else values[u] or "")
-                size += len(out[-1])
-                if size > SCORED:
-                    break
-            values[k] = "".join(out)[:SCORED]
+                if u is None or u == k:
+                    part, mine = _Value(value), True
+                else:
+                    left[u] -= 1
+                    part, mine = values[u], not left[u]
+                    if mine:
+                        values[u] = None
+                if part is not None:
+                    if out is None:
+                        out = part if mine else part.copy()
+                    else:
+                        out += part
+            out = out or _Value()
+            done[k], values[k] = True, out if left[k] else None
+            n = name_score(own[k].name)
+            if n and n * out.score() >= SPAN_SCORE:
+                hot.append(k)
             todo.pop()
-    hot = [k for k, b in enumerate(own) if (n := name_score(b.name)) and n * literal_score(values[k]) >= SPAN_SCORE]
     spans, seen = set(), set(hot)
     while hot:
         for u, _, s, e in uses[hot.pop()]:

@@ -227,3 +227,13 @@ def test_word_hashes_equal_words_only():
         for w, h in zip(own, hashes[bounds[i] : bounds[i + 1]], strict=True):
             assert seen.setdefault(w, int(h)) == int(h)
     assert len(set(seen.values())) == len(seen)
+
+
+def test_whole_values_are_scored():
+    """What stands beyond the first thousands of characters of a value counts as well."""
+    key = "kQpL93ZxWm7Rt2Vb" * 300
+    assert secrets.lexed_spans(f'pwd = "{key}"') == [(6, 8 + len(key))]
+    assert secrets.lexed_spans(f'pwd = "{key} and then prose"') == []
+    assert secrets.lexed_spans(f'a = "{key}"\npwd = a + "exam" + "ple"') == []
+    assert secrets.lexed_spans('pwd = "' + "a" * 5000 + 20 * key + '"') != []
+    assert len(secrets.lexed_spans(f'k0 = "{KEY}"\n' + "".join(f"k{i} = k{i - 1} + k{i - 1}\n" for i in range(1, 2000)) + "pwd = k1999")) == 1
