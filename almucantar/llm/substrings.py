@@ -34,6 +34,8 @@ NO_ID = 2**63 - 1
 BUCKET_BYTES = 8 << 20
 #: Suffix arrays are built over about this many bytes at once; larger groups of one anchor are split first.
 ARRAY_BYTES = 256 << 10
+#: Small groups of several anchors share arrays of about this many bytes; smaller arrays stay in a processor's cache.
+CHUNK_BYTES = 32 << 10
 #: Bytes that are hashed at once.
 SLICE = 1 << 17
 #: Very common grams are looked for in this many units, and are those seen this often there; at most so many are kept.
@@ -392,51 +394,82 @@ def _compare(length: int):
 def shared_strings(h: np.ndarray, doc: np.ndarray, size: np.ndarray, left: np.ndarray, at: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
     """The smallest doc_id that has each string of each stretch, given the smallest that has the stretch.
 
-    Two stretches of one anchor that share a string also share bytes next to the anchor, on both sides
-    together as many as the string has beside it. So stretches without a partner that shares nearly as many,
-    for some split of them between the sides, are left out of the suffix arrays; and large groups are split
-    by half of the bytes on either side.
+    Two stretches of one anchor share a string if they share, for some split of the bytes beside the anchor, those
+    on either side. What no partner shares at a stretch's ends, and stretches without any partner, are left out of
+    the suffix arrays, and of what is left equal ones, byte by byte, go there once. Large groups are split by half
+    of the bytes on either side.
     """
     strings = size - length + 1
     where = np.cumsum(strings) - strings
     least = np.repeat(doc, strings)
-    beside, grid = length - GRAM, 4
+    beside = length - GRAM
     around = [_outward(text, at + left - 1, left, -1, beside), _outward(text, at + left + GRAM, size - left - GRAM, 1, beside)]
-    some = np.zeros(len(h), bool)
-    for l in range(0, beside + 1, grid):
-        r = max(0, beside - l - grid + 1)
-        i = np.flatnonzero((left >= l) & (size - left - GRAM >= r))
-        _, back, count = np.unique(mix(h[i] + around[0][l][i] * _ODD[1] + around[1][r][i] * _ODD[2]), return_inverse=True, return_counts=True)
-        some[i] |= count[back] > 1
+    low, high = np.full(len(h), beside + 1), np.full(len(h), -1)  # bytes before the anchor in the last and first such string
+    for l in range(beside + 1):
+        i = np.flatnonzero((left >= l) & (size - left - GRAM >= beside - l))
+        i = i[_repeated(mix(h[i] + around[0][l][i] * _ODD[1] + around[1][beside - l][i] * _ODD[2]))]
+        low[i] = np.minimum(low[i], l)
+        high[i] = l
+    some = np.flatnonzero(high >= 0)
+    if not len(some):
+        return least
+    first = (left - high)[some]
+    one, back = _equal(text, at[some] + first, (high - low)[some] + length)
+    h, at, left, size = h[some][one], (at[some] + first)[one], high[some][one], (high - low)[some][one] + length
+    lowest = np.full(len(one), NO_ID, np.int64)
+    np.minimum.at(lowest, back, doc[some])
+    n_own = size - length + 1
+    own_where = np.cumsum(n_own) - n_own
+    own_least = np.repeat(lowest, n_own)
     side, keys, partner = beside // 2, [], []
     for sums, there in zip(around, (left, size - left - GRAM), strict=True):
         key = mix(np.arange(len(h), dtype=np.uint64) * np.uint64(2) + np.uint64(1))  # alone
         i = there >= side
-        key[i] = mix(h[i] + sums[side][i])
-        _, back, count = np.unique(key, return_inverse=True, return_counts=True)
+        key[i] = mix(h[i] + sums[side][some[one[i]]])
         keys.append(key)
-        partner.append(count[back] > 1)
-    order = np.flatnonzero(some)[np.argsort(h[some], kind="stable")]
+        partner.append(_repeated(key))
+    order = np.argsort(h, kind="stable")
     chunk, held = [], 0
-    for group in np.split(order, np.flatnonzero(np.diff(h[order])) + 1) if len(order) else []:
+    for group in np.split(order, np.flatnonzero(np.diff(h[order])) + 1):
         n = int(size[group].sum())
         if n > 4 * ARRAY_BYTES:
             for key, has in zip(keys, partner, strict=True):
                 own = group[has[group]]
                 own = own[np.argsort(key[own], kind="stable")]
                 for part in np.split(own, np.flatnonzero(np.diff(key[own])) + 1) if len(own) else []:
-                    _by_arrays(part, size, at, text, where, least, length)
+                    _by_arrays(part, size, at, text, own_where, own_least, length)
             continue
-        if held + n > ARRAY_BYTES and chunk:
-            _by_array(chunk, size, at, text, where, least, length)
+        if held + n > CHUNK_BYTES and chunk:
+            _by_array(chunk, size, at, text, own_where, own_least, length)
             chunk, held = [], 0
         chunk.append(group)
         held += n
     if chunk:
-        _by_array(chunk, size, at, text, where, least, length)
+        _by_array(chunk, size, at, text, own_where, own_least, length)
+    n = n_own[back]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    least[np.repeat(where[some] + first, n) + step] = own_least[np.repeat(own_where[back], n) + step]
     return least
 
 
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Which keys are there more than once."""
+    _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
+    return count[back] > 1
+
+
+def _equal(text: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One of each different stretch of bytes, and which of these each stretch equals."""
+    one, back = [], np.zeros(len(size), np.int64)
+    for n in np.unique(size):  # few: from a string's length to less than twice that
+        i = np.flatnonzero(size == n)
+        rows = np.ascontiguousarray(text[begin[i][:, None] + np.arange(n)]).view(f"V{n}").ravel()
+        _, k, of = np.unique(rows, return_index=True, return_inverse=True)
+        back[i] = of + sum(map(len, one))
+        one.append(i[k])
+    return np.concatenate(one), back
+
+
 def _outward(text: np.ndarray, start: np.ndarray, there: np.ndarray, step: int, most: int) -> list[np.ndarray]:
     """Hashes of the first 0 to ``most`` bytes from each place in one direction; what lies beyond ``there`` means nothing."""
     out = [np.zeros(len(start), np.uint64)]

@@ -267,3 +267,22 @@ def test_pipeline_stage_by_stage(spark):
         if name == "packing":
             assert out.select("doc_id").distinct().count() == docs.count()
         docs = out
+
+
+def test_shared_strings_go_to_arrays_once(monkeypatch):
+    """A passage that many texts have between bytes of their own does not go to the suffix arrays with each of them."""
+    rng = np.random.default_rng(11)
+    letters = lambda n: rng.integers(97, 123, n).astype(np.uint8)
+    passage = letters(60)
+    parts = [np.concatenate([letters(89), own, passage, own, letters(89)]) for own in np.arange(200, dtype=np.uint8)[:, None]]
+    raw, at = np.concatenate(parts), np.arange(201) * 240
+    h, sid, first, last, anchor = substrings.stretches(raw, at, 50)
+    doc, size = np.searchsorted(at, first, "right") - 1, last - first + 50
+    text = np.concatenate([raw[f : f + n] for f, n in zip(first, size, strict=True)])
+    seen = []
+    monkeypatch.setattr(substrings, "suffix_array", lambda symbols: seen.append(len(symbols)) or suffix_array(symbols))
+    least = substrings.shared_strings(h, doc, size, anchor - first, np.cumsum(size) - size, text, 50)
+    begins = np.concatenate([np.arange(a, b + 1) for a, b in zip(first, last, strict=True)])
+    inside = (begins % 240 >= 90) & (begins % 240 <= 100)
+    assert (least == np.where(inside, 0, begins // 240)).all()
+    assert sum(seen) < 1000
