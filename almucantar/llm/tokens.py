@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,8 @@ MOST_PIECES, MOST_CHARS, LONG_PIECE = 500_000, 16 << 20, 200
 BATCH = 4 << 20
 _SPACE = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _CUT = "\x1f"
+#: What stands between pieces that go to a word tokenizer as one text, and how many do.
+_MARK, JOINED = "\x01", 128
 
 
 class Encoder:
@@ -38,6 +41,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keeps_space = keeps_space
+        mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 and not keeps_space else None
         self._whole = rf"{_SPACE}{{2}}|<\||{_CUT}" if keeps_space else r"<\|"
         self.known: dict[str, int] = {"": 0}
         self.chars = 0
@@ -63,9 +68,7 @@ class Encoder:
     def _add(self, pieces: list[str]) -> None:
         for at in range(0, len(pieces), 20_000):
             some = pieces[at : at + 20_000]
-            ids = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-            new = np.fromiter((i for x in ids for i in x), np.uint32, int(lengths.sum()))
+            lengths, new = self._encoded(some)
             if self.used + len(new) > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(new), np.uint32)])
             first = len(self.known)
@@ -79,6 +82,26 @@ class Encoder:
             self.chars += sum(map(len, some))
             self.known.update(zip(some, range(first, first + len(some)), strict=True))
 
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and the ids of all.
+
+        White space always parts words, so many pieces are encoded as one text, in which a mark's id ends each. A piece
+        that has this id itself makes too many marks; then each piece is encoded alone.
+        """
+        if self.mark is not None:
+            ids, _ = self._listed([f" {_MARK} ".join([*pieces[i : i + JOINED], ""]) for i in range(0, len(pieces), JOINED)])
+            is_mark = ids == self.mark
+            ends = np.flatnonzero(is_mark)
+            if len(ends) == len(pieces):
+                return np.diff(ends, prepend=-1) - 1, ids[~is_mark]
+        ids, lengths = self._listed(pieces)
+        return lengths, ids
+
+    def _listed(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum())), lengths
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, and where each text's begin (one more than texts). Null: empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -96,8 +119,10 @@ class Encoder:
         pieces = coded.dictionary.to_pylist()
         if len(self.known) > MOST_PIECES or self.chars > MOST_CHARS:
             self._forget()
-        self._add([p for p in pieces if p not in self.known])
-        own = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        own = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        new = own < 0
+        own[new] = len(self.known) + np.arange(new.sum())  # the numbers that they get
+        self._add(list(compress(pieces, new.tolist())))
         self.seen[own] += 1
         place = own[coded.indices.to_numpy()]
         length = self.length[place]

@@ -101,6 +101,31 @@ def test_very_common_grams_are_last_anchors():
     assert any(key[i][0] for i in expected) and not all(key[i][0] for i in expected)
 
 
+def test_pieces_are_encoded_together(monkeypatch):
+    """Ids are the library's whatever the pieces hold, and the tokenizer is not called with each piece."""
+    from almucantar.llm import tokens
+
+    rng = random.Random(3)
+    word = lambda odd: "".join(rng.choice("abXYZéßσΣŉ'’-9٣_\u0301\x7f世\t\u3000.,!$&" + odd) for _ in range(rng.randrange(0, 9)))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    for odd in ("", "\x01\x1f\x00"):
+        encoder = tokens.Encoder(path, keeps_space=False)
+        texts = ["\n".join(" ".join(word(odd) for _ in range(12)) for _ in range(3)) for _ in range(400)] + ["a\x01 \x01 b" * bool(odd), ""]
+        for part in (texts[:100], texts):
+            ids, bounds = encoder.encode(pa.array(part))
+            assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+    given = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            given.extend(texts)
+            return own.encode_batch_fast(texts, **options)
+
+    own, encoder.tokenizer = encoder.tokenizer, Counting()
+    encoder.encode(pa.array([" ".join(f"word{i}" for i in range(1000))]))
+    assert len(given) <= 10
+
+
 def test_encoder_on_slices():
     """A slice of an array of texts gets the ids that its texts get one by one."""
     from almucantar.llm import tokens
