@@ -191,6 +191,6 @@ def cropped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cells of a global grid, from 0 to 360 degrees, at the points of a region."""
     wanted = points(spark, sf_dir).select(F.round("lat").alias("lat"), F.round("lon").alias("lon")).distinct()
     grid = spark.range(181).select((F.col("id") - 90.0).alias("lat"), F.explode(F.sequence(F.lit(0), F.lit(359))).alias("lon")).withColumn("lon", F.col("lon").cast("double"))
-    grid = grid.withColumn("mark", F.round(F.col("lat") * 4).cast("long") * 1000 + F.round((F.pmod(F.col("lon") + 180.0, F.lit(360.0)) - 180.0) * 4).cast("long"))
-    out = ingest.cropped(grid, wanted)
-    return out.agg(F.count("*").alias("cells"), F.sum("mark").alias("mark"))
+    grid = grid.withColumn("row", F.round(F.col("lat") * 4).cast("long") * 1000)
+    out = ingest.cropped(grid, wanted)  # the region's longitudes, of which 180 and -180 are one cell of the grid
+    return out.agg(F.count("*").alias("cells"), F.sum(F.col("row") + F.round(F.col("lon") * 4).cast("long")).alias("mark"))

@@ -51,3 +51,8 @@ def test_hourly_weights_to_the_last_bit(spark):
         h = r["t"] // 3600
         w = r["t"] / 3600 - h
         assert r["blended"] == float(np.sin(h % 1000)) * (1.0 - w) + float(np.sin((h + 1) % 1000)) * w
+
+
+def test_cells_at_the_date_line(spark, tmp_path):
+    customer = keys(c_custkey=[k for k in range(36000) if (k * 104729) % 36000 >= 35900 or (k * 104729) % 36000 < 100])
+    assert from_query(spark, tmp_path, "cropped_cells", customer=customer) == from_sql("cropped_cells", customer=customer)
