@@ -83,14 +83,14 @@ row_number() OVER (PARTITION BY place ORDER BY level DESC, (n - s) * (e - w), id
 @query(f"{_PICKED} SELECT place, id AS area_id FROM c WHERE best = 1")
 def area_finest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finest area that contains each place."""
-    return relational.pick_area(relational.containing_areas(points(spark, sf_dir), _areas(spark, sf_dir), "place"), "place")
+    return relational.best_areas(points(spark, sf_dir), _areas(spark, sf_dir), "place")
 
 
 @query(f"""{_PICKED}, t AS (SELECT * FROM c WHERE k = 1 AND level < 30), h AS (SELECT * FROM c WHERE k = 1 AND level >= 30), b AS (SELECT * FROM c WHERE best = 1)
 SELECT b.place, CASE WHEN t.radius_km <= 13 THEN t.id ELSE coalesce(h.id, b.id) END AS area_id FROM b LEFT JOIN t USING (place) LEFT JOIN h USING (place)""")
 def area_city(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The town that contains each place, or, in a large one, the neighbourhood."""
-    return relational.pick_area(relational.containing_areas(points(spark, sf_dir), _areas(spark, sf_dir), "place"), "place", "city")
+    return relational.best_areas(points(spark, sf_dir), _areas(spark, sf_dir), "place", "city")
 
 
 _RING = [-100.0, -40.0, 60.0, -50.0, 120.0, 10.0, 30.0, 50.0, 0.0, 0.0, -120.0, 40.0]

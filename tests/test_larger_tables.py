@@ -6,8 +6,8 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from almucantar.operators import ingest, stats
-from almucantar.plans import registry
+from almucantar.operators import answers, ingest, relational, stats, terrain
+from almucantar.plans import registry, sky
 
 
 def from_sql(name, **tables):
@@ -56,3 +56,29 @@ def test_hourly_weights_to_the_last_bit(spark):
 def test_cells_at_the_date_line(spark, tmp_path):
     customer = keys(c_custkey=[k for k in range(36000) if (k * 104729) % 36000 >= 35900 or (k * 104729) % 36000 < 100])
     assert from_query(spark, tmp_path, "cropped_cells", customer=customer) == from_sql("cropped_cells", customer=customer)
+
+
+def plan(frame):
+    return frame._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["area_finest", "area_city"])
+def test_no_task_holds_all_cells(spark, name):
+    """Cells of areas are many more rows than Spark expects: a broadcast of them fills the driver."""
+    joins = [line for line in plan(registry.queries()[name](spark, "/root/testdata/sf0.001")).splitlines() if "Join" in line and "_i#" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+
+
+@pytest.mark.parametrize("rule", ["finest", "city"])
+def test_best_areas_against_all_pairs(spark, rule):
+    rng = np.random.default_rng(11)
+    n = 400
+    s, w = rng.integers(-40, 40, n) / 4, rng.integers(-40, 40, n) / 4
+    h, e = 2.0 ** rng.integers(-3, 5, n), 2.0 ** rng.integers(-3, 5, n)
+    h[:5] = 0.0  # lines and points
+    rows = [(k, float(s[k]), float(w[k]), float(s[k] + h[k]), float(w[k] + e[k]), int(rng.integers(1, 4)) * 10, float(rng.integers(0, 26))) for k in range(n)]
+    rows += [(n + r[0], *r[1:]) for r in rows[:60]]
+    boxes = spark.createDataFrame(rows, "id long, s double, w double, n double, e double, level int, radius_km double")
+    at = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.integers(-44, 60, 900) / 4, rng.integers(-44, 60, 900) / 4, strict=True))], "place long, lat double, lon double")
+    expected = relational.pick_area(relational.containing_areas(at, boxes, "place"), "place", rule).collect()
+    assert sorted(relational.best_areas(at, boxes, "place", rule).collect()) == sorted(expected) and expected
