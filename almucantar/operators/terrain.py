@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almucantar.operators import columns
+from almucantar.operators import columns, relational
 
 #: Earth radius (m), refraction coefficient, metres in a degree.
 R_EARTH, REFRACTION, M_PER_DEGREE = 6371008.8, 0.13, 111194.9
@@ -196,15 +196,28 @@ def box_ends(s: Column, w: Column, n: Column, e: Column) -> Column:
 def ray_tiles(places: DataFrame, km: float) -> DataFrame:
     """place, i, j: the one-degree tiles that rays from places (place, lat, ends) toward the year's rises and sets cross.
 
-    Rays leave every end, each half degree of azimuth at the place's own latitude, and are sampled each 2 km.
+    Rays leave every end, each half degree of azimuth at the place's own latitude, and are sampled each 2 km. Of a ray
+    that is short and not near a pole, longitude goes one way, and latitude bends by less than ``bend``: if its two ends
+    lie in one tile or on either side of one edge, and it comes near no other, they are all that its samples cross.
     """
-    wide = rise_ranges(places)
+    last = int(km * 1000 // 2000) * 2000.0
+    bend = math.degrees((last / R_EARTH) ** 2 / 8) * math.tan(math.radians(81)) + 1e-9
+    wide = rise_ranges(relational.spread(places.select("place", "lat", "ends"), 5000))
     count = F.ceil((F.col("rise_hi") - F.col("rise_lo") + 0.5) / 0.5).cast("int")
     side = lambda lo: F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.col(lo) + k * 0.5)
-    rays = wide.select("place", F.explode("ends").alias("_e"), F.concat(side("rise_lo"), side("set_lo")).alias("_az")).select("place", "_e", F.explode("_az").alias("azimuth"))
-    at = rays.withColumn("metres", F.explode(F.transform(F.sequence(F.lit(0), F.lit(int(km * 1000 // 2000))), lambda k: k * 2000.0)))
-    lat2, lon2 = destinations(F.col("_e.lat"), F.col("_e.lon"), F.col("azimuth"), F.col("metres"))
-    return at.select("place", F.floor(lat2).alias("i"), F.floor(F.pmod(lon2 + 180.0, F.lit(360.0)) - 180.0).alias("j")).distinct()
+    rays = wide.select("place", F.explode("ends").alias("_e"), F.concat(side("rise_lo"), side("set_lo")).alias("_az")).select("place", "_e", F.posexplode("_az").alias("_k", "azimuth"))
+    to = lambda metres: destinations(F.col("_e.lat"), F.col("_e.lon"), F.col("azimuth"), metres)
+    row, column = F.floor, lambda lon: F.floor(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0)
+    (lat0, lon0), (lat1, lon1) = to(F.lit(0.0)), to(F.lit(last))
+    rays = rays.withColumns({"_lat0": lat0, "_lat1": lat1, "_j0": column(lon0), "_j1": column(lon1)}).withColumns({"_i0": row("_lat0"), "_i1": row("_lat1")})
+    i0, i1, j0, j1 = (F.col(c) for c in ("_i0", "_i1", "_j0", "_j1"))
+    lo, hi = F.least("_lat0", "_lat1"), F.greatest("_lat0", "_lat1")
+    clear = (row(lo - bend) == row(lo)) & (row(hi + bend) == row(hi)) & (hi < 80) & (lo > -80) & (F.abs(F.sin(F.radians("azimuth"))) > 1e-6)
+    plain = clear & F.lit(0 < last <= 100_000) & (((i0 == i1) & F.pmod(j1 - j0, F.lit(360)).isin(0, 1, 359)) | (j0 == j1))
+    every = F.lit([k * 2000.0 for k in range(int(last // 2000) + 1)])
+    steps = F.when(plain & (F.col("_k") == 0), F.lit([0.0, last])).when(plain, F.lit([last])).otherwise(every)  # all rays of an end begin in one tile
+    lat2, lon2 = to(F.col("metres"))
+    return rays.select("place", "_e", "azimuth", F.explode(steps).alias("metres")).select("place", row(lat2).alias("i"), column(lon2).alias("j")).distinct()
 
 
 def path_box(places: DataFrame, keys: list[str], reach_km: float, grid: float = 0.25) -> DataFrame:

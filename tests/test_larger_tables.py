@@ -82,3 +82,22 @@ def test_best_areas_against_all_pairs(spark, rule):
     at = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(rng.integers(-44, 60, 900) / 4, rng.integers(-44, 60, 900) / 4, strict=True))], "place long, lat double, lon double")
     expected = relational.pick_area(relational.containing_areas(at, boxes, "place"), "place", rule).collect()
     assert sorted(relational.best_areas(at, boxes, "place", rule).collect()) == sorted(expected) and expected
+
+
+def test_small_files_are_dealt_to_tasks(spark, tmp_path):
+    keys(s_suppkey=range(2000)).assign(s_name="x").to_parquet(tmp_path / "supplier.parquet")
+    for name in ("horizon_tiles",):
+        assert "RoundRobinPartitioning" in plan(registry.queries()[name](spark, str(tmp_path)))
+
+
+def test_ray_tiles_by_their_ends(spark):
+    """Places near edges, the date line and the poles, against all samples of their rays."""
+    rows = [(1, 60.37, -179.9), (2, -33.0, 20.99), (3, 79.9, 5.1), (4, 89.7, 0.0), (5, -0.001, 0.001), (6, 45.5, 7.5), (7, 66.9, 100.0), (8, -80.05, 33.33)]
+    p = spark.createDataFrame(rows, "place long, lat double, lon double").withColumn("ends", terrain.ends(F.col("lat"), F.col("lon"), F.lit(2.0)))
+    wide = terrain.rise_ranges(p)
+    count = F.ceil((F.col("rise_hi") - F.col("rise_lo") + 0.5) / 0.5).cast("int")
+    side = lambda lo: F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.col(lo) + k * 0.5)
+    rays = wide.withColumn("azimuth", F.explode(F.concat(side("rise_lo"), side("set_lo")))).withColumn("e", F.explode("ends")).withColumn("metres", F.explode(F.lit([k * 2000.0 for k in range(21)])))
+    lat, lon = terrain.destinations(F.col("e.lat"), F.col("e.lon"), F.col("azimuth"), F.col("metres"))
+    expected = rays.select("place", F.floor(lat).alias("i"), F.floor(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).alias("j")).distinct()
+    assert sorted(terrain.ray_tiles(p, 40.0).collect()) == sorted(expected.collect())
