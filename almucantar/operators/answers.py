@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from almucantar.operators import kernels
+
 #: Spellings of the area rules.
 CITY, FINEST, NO_AREA = ["auto", "city", "1", "true"], ["finest"], ["", "0", "false"]
 #: The note of a request without an area.
@@ -151,28 +153,8 @@ def smoothed_ground(heights: Column, step_km: float, sigma_km: float) -> Column:
 
     Samples count by a Gaussian of their distance; the fit's value is the solution of its three normal equations.
     """
-    n = F.size(heights)
-
-    def fit(i: Column) -> Column:
-        u = lambda k: (k - i) * float(step_km)
-        empty = F.array_repeat(F.lit(0.0), 8)
-
-        def add(acc: Column, k: Column) -> Column:
-            x = u(k)
-            w = F.exp(-(x * x) / (2.0 * sigma_km**2))
-            h = F.get(heights, k)
-            terms = F.array(w, w * x, w * x * x, w * x * x * x, w * x * x * x * x, w * h, w * x * h, w * x * x * h)
-            return F.zip_with(acc, terms, lambda a, b: a + b)
-
-        def solve(s: Column) -> Column:
-            s0, s1, s2, s3, s4, t0, t1, t2 = (F.get(s, F.lit(k)) for k in range(8))
-            whole = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
-            top = t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
-            return top / whole
-
-        return F.aggregate(F.sequence(F.lit(0), n - 1), empty, add, solve)
-
-    return F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 1), fit)).otherwise(heights)
+    whole = F.when(F.exists(heights, lambda h: h.isNull()), F.transform(heights, lambda _: F.lit(None).cast("double"))).otherwise(kernels.quadratic_fits(heights, step_km, sigma_km))
+    return F.when(F.size(heights) >= 3, whole).otherwise(heights)
 
 
 def widened(steps: DataFrame, keys: list[str], clear: float, step: float, pad: float, most: float) -> DataFrame:

@@ -101,3 +101,11 @@ def test_ray_tiles_by_their_ends(spark):
     lat, lon = terrain.destinations(F.col("e.lat"), F.col("e.lon"), F.col("azimuth"), F.col("metres"))
     expected = rays.select("place", F.floor(lat).alias("i"), F.floor(F.pmod(lon + 180.0, F.lit(360.0)) - 180.0).alias("j")).distinct()
     assert sorted(terrain.ray_tiles(p, 40.0).collect()) == sorted(expected.collect())
+
+
+def test_fits_of_all_lengths(spark):
+    """Rays are fitted whole, not sample by sample in Spark's interpreter."""
+    rows = spark.createDataFrame([([1.0, 4.0, 9.0, 16.0],), ([2.0, None, 3.0],), ([5.0, 5.0, 5.0],), ([1.0, 2.0],), (None,)], "h array<double>").select(answers.smoothed_ground(F.col("h"), 1.0, 2.0).alias("f"))
+    got = [r["f"] for r in rows.collect()]
+    assert got[0] == pytest.approx([1.0, 4.0, 9.0, 16.0]) and got[1] == [None] * 3 and got[2] == pytest.approx([5.0] * 3) and got[3:] == [[1.0, 2.0], None]
+    assert "ArrowEvalPython" in plan(rows)
