@@ -175,7 +175,7 @@ def horizon_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples along rays: a short list of directions and distances for each observer."""
     s = points(spark, sf_dir, "supplier", "s_suppkey").select(F.col("place").alias("site"), (F.col("place") % 50 + 300.0).alias("eye"))
-    s = s.withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(100))))
+    s = relational.spread(s, 1200).withColumn("a", F.explode(F.sequence(F.lit(0), F.lit(11)))).withColumn("d", F.explode(F.sequence(F.lit(1), F.lit(100))))
     return s.select("site", "eye", (F.col("a") * 30.0).alias("azimuth"), (F.col("d") * 500.0).alias("metres"), (F.sin((F.col("a") * 30.0 + F.col("d")) / 7.0) * 300.0 + 400.0).alias("height"))
 
 
