@@ -74,7 +74,7 @@ def crests(observers: DataFrame, azimuths: list[float], steps: list[float], heig
         out = heights(rows.withColumns({"lat": lat2, "lon": lon2})).withColumn("height", F.greatest("height", "floor"))
         return out.withColumns({"slope": _slope(main)} | {name: _slope(f) for name, f in factors.items()})
 
-    own = observers.select("site", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "eye", "floor").withColumn("azimuth", F.explode(F.lit([float(a) for a in azimuths])))
+    own = relational.spread(observers, len(azimuths) * k).select("site", F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), "eye", "floor").withColumn("azimuth", F.explode(F.lit([float(a) for a in azimuths])))
     coarse = sampled(own.select("*", F.posexplode(F.lit([float(d) for d in steps])).alias("at", "metres"))).withColumns({"stage": F.lit(0), "order": F.col("at")})
     parts = coarse
     if refine and k >= 3:
