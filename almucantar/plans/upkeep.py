@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almucantar.operators import climatology, guard, ingest, stats
+from almucantar.operators import climatology, guard, ingest, relational, stats
 from almucantar.plans.registry import micro, points, query, sql_points
 from almucantar.session import table
 
@@ -125,7 +125,8 @@ s AS (SELECT *, CASE WHEN ga IS NULL OR ga > f THEN 'forecast' WHEN gb IS NULL O
 SELECT l_orderkey, km, source, CASE WHEN source = 'forecast' THEN a ELSE b END AS value FROM p JOIN s USING (l_orderkey) WHERE (source = 'forecast' AND km < coalesce(ga, 99)) OR (source = 'typical' AND km < coalesce(gb, 99))""")
 def path_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths from the first source that has their beginning, as far as it goes."""
-    p = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").alias("km")).agg(F.max(F.when(F.col("l_quantity") > 8, F.col("l_quantity"))).alias("a"), F.max(F.when(F.col("l_discount") > 0.01, F.col("l_discount"))).alias("b"))
+    li = relational.spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount"), 1, keys=("l_orderkey",))  # a path is in one task
+    p = li.groupBy("l_orderkey", F.col("l_linenumber").alias("km")).agg(F.max(F.when(F.col("l_quantity") > 8, F.col("l_quantity"))).alias("a"), F.max(F.when(F.col("l_discount") > 0.01, F.col("l_discount"))).alias("b"))
     parts = p.select("l_orderkey", "km", F.explode(F.array(F.struct(F.lit("typical").alias("source"), F.col("b").alias("value")), F.struct(F.lit("forecast").alias("source"), F.col("a").alias("value")))).alias("s")).select("l_orderkey", "km", "s.source", "s.value")
     return ingest.first_source(parts, ["l_orderkey"], "km", "source", ["forecast", "typical"]).select("l_orderkey", "km", "source", "value")
 

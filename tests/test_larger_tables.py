@@ -110,3 +110,11 @@ def test_fits_of_all_lengths(spark):
     got = [r["f"] for r in rows.collect()]
     assert got[0] == pytest.approx([1.0, 4.0, 9.0, 16.0]) and got[1] == [None] * 3 and got[2] == pytest.approx([5.0] * 3) and got[3:] == [[1.0, 2.0], None]
     assert "ArrowEvalPython" in plan(rows)
+
+
+def test_paths_are_sorted_once(spark, tmp_path):
+    """A path is in one task, and none sorts its rows for joins with what was found of them."""
+    rows = [(1, 1, "b", 5.0), (1, 2, "b", 6.0), (1, 1, "a", None), (1, 2, "a", 7.0), (2, 1, "a", 1.0), (2, 2, "a", None), (2, 3, "a", 3.0), (3, 1, "a", None), (3, 1, "b", None), (4, 1, "c", 1.0), (5, 2, "a", 4.0)]
+    out = ingest.first_source(spark.createDataFrame(rows, "k long, at int, source string, value double"), ["k"], "at", "source", ["a", "b"])
+    assert sorted(tuple(r) for r in out.collect()) == [(1, 1, "b", 5.0), (1, 2, "b", 6.0), (2, 1, "a", 1.0), (5, 2, "a", 4.0)]
+    assert "Join" not in plan(registry.queries()["path_sources"](spark, "/root/testdata/sf0.001"))
