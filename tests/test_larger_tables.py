@@ -85,8 +85,8 @@ def test_best_areas_against_all_pairs(spark, rule):
 
 
 def test_small_files_are_dealt_to_tasks(spark, tmp_path):
-    keys(s_suppkey=range(2000)).assign(s_name="x").to_parquet(tmp_path / "supplier.parquet")
-    assert sky._terrain(spark, str(tmp_path)).rdd.getNumPartitions() == 3
+    keys(s_suppkey=range(3000)).assign(s_name="x").to_parquet(tmp_path / "supplier.parquet")
+    assert sky._terrain(spark, str(tmp_path)).rdd.getNumPartitions() == 4
     for name in ("horizon_tiles", "horizon_crests", "variogram_lags"):
         assert "RoundRobinPartitioning" in plan(registry.queries()[name](spark, str(tmp_path)))
 
